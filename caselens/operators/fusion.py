@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselens.functions.numbering import first_per_key, top_per_key
+from caselens.functions.scratch import written
 from caselens.functions.text import fold, strip, words
 from caselens.operators.lexical import CHUNK_KEY, bm25_search, needs_lexical_priority
 from caselens.operators.vectors import hash_search
@@ -68,16 +69,18 @@ def hybrid(semantic: DataFrame, lexical: DataFrame, queries: DataFrame, k: int)
         lexical.where(F.col("rank") == 1).join(wanted, keys, "left_semi")
         .join(sides.where("sides = 2"), keys, "left_semi").select(*cols)
     )
-    marked = out.withColumn("_first", F.lit(1)).unionByName(first.withColumn("_first", F.lit(0)))
+    marked = out.withColumn("_lead", F.lit(1)).unionByName(first.withColumn("_lead", F.lit(0)))
     # The preferred hit brings its own score and displaces its fused copy.
-    single = first_per_key(marked, [*keys, *ITEM], [F.col("_first")])
-    return top_per_key(single.withColumnRenamed("rank", "_rank"), keys, [F.col("_first"), F.col("_rank")], k).drop(
-        "_first", "_rank")
+    single = first_per_key(marked, [*keys, *ITEM], [F.col("_lead")])
+    return top_per_key(single.withColumnRenamed("rank", "_rank"), keys, [F.col("_lead"), F.col("_rank")], k).drop(
+        "_lead", "_rank")
 
 
 def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """F03 on chunks with the hash embedding as the semantic side."""
-    return hybrid(hash_search(chunks, queries, 2 * k), bm25_search(chunks, queries, 2 * k), queries, k)
+    semantic = written(hash_search(chunks, queries, 2 * k), "semantic")
+    lexical = written(bm25_search(chunks, queries, 2 * k), "lexical")
+    return hybrid(semantic, lexical, queries, k)
 
 
 def fuse_queries(hits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -112,7 +115,7 @@ def multi_query_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFra
     counts = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     lone = queries.join(counts.where("n = 1"), keys, "left_semi")
     several = queries.join(counts.where("n > 1"), keys, "left_semi")
-    hits = hybrid_search(chunks, lone, k).unionByName(hybrid_search(chunks, several, 2 * k))
+    hits = written(hybrid_search(chunks, lone, k).unionByName(hybrid_search(chunks, several, 2 * k)), "hits")
     return fuse_queries(hits, queries, k)
 
 
@@ -147,13 +150,14 @@ def list_limit(k: int, n_queries: int) -> int:
 def _phrases(question: Column) -> Column:
     """Phrases of two to four words, and single words of at least seven letters."""
     w = words(fold(question))
-    runs = [
-        F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n),
-                                           lambda i, n=n: F.array_join(F.slice(w, i + 1, n), " ")))
-        for n in (2, 3, 4)
-    ]
     empty = F.array().cast("array<string>")
-    return F.concat(*[F.coalesce(r, empty) for r in runs], F.filter(w, lambda x: F.length(x) >= 7))
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - n + 1)
+        found = F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        return F.when(F.size(w) >= n, found).otherwise(empty)
+
+    return F.concat(runs(2), runs(3), runs(4), F.filter(w, lambda x: F.length(x) >= 7))
 
 
 def _excerpt(text: Column, centre: Column, limit: Column) -> Column:

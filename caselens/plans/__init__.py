@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["pages"]
+MODULES = ["pages", "retrieval"]
 
 
 def load_all() -> None:
