@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["pages", "retrieval"]
+MODULES = ["pages", "retrieval", "scoring"]
 
 
 def load_all() -> None:
