@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselens.functions.numbering import number_rows
+from caselens.functions.scratch import written
 from caselens.functions.text import ascii_tokens, fold, present, squash_fold
 from caselens.operators.grounding import cited_pages_of
 from caselens.operators.lexical import STOP_WORDS
@@ -123,7 +124,8 @@ def generate_cases(chunks: DataFrame, vocabulary: list[str], limit: int = 50) ->
     Pages with the same vocabulary words are counted once with their number, and chunks with the same word list
     are looked up once, so no page list of a frequent word is ever built.
     """
-    held = chunks.withColumn("_v", vocabulary_tokens(F.col("text"), vocabulary))
+    held = written(chunks.select("case_id", "page_number", "chunk_index", "text").withColumn(
+        "_v", vocabulary_tokens(F.col("text"), vocabulary)), "vocabulary")
     per_page = held.select("case_id", "page_number", F.explode("_v").alias("term")).distinct()
     page_df = per_page.groupBy("case_id", "term").agg(F.count(F.lit(1)).alias("page_df"))
     # A page holds at most the vocabulary, so these sets are small.
@@ -139,8 +141,8 @@ def generate_cases(chunks: DataFrame, vocabulary: list[str], limit: int = 50) ->
         .join(page_df, ["case_id", "term"])
     )
     order = F.struct("page_df", "_tf", (-F.length("term")).alias("len"), "term")
-    lists = terms.groupBy("case_id", "page_number", "chunk_index").agg(
-        F.transform(F.sort_array(F.collect_list(order)), lambda s: s["term"]).alias("terms"))
+    lists = written(terms.groupBy("case_id", "page_number", "chunk_index").agg(
+        F.transform(F.sort_array(F.collect_list(order)), lambda s: s["term"]).alias("terms")), "lists")
     distinct = lists.select("case_id", "terms", F.element_at("terms", 1).alias("term")).distinct()
     first_gap = F.array_min(F.filter(
         F.transform("terms", lambda t, i: F.when(~F.array_contains("words", t), i)), lambda i: i.isNotNull()))
@@ -149,6 +151,7 @@ def generate_cases(chunks: DataFrame, vocabulary: list[str], limit: int = 50) ->
         kinds.withColumn("term", F.explode("words")).join(distinct, ["case_id", "term"])
         .withColumn("reach", reach).where("reach >= 2").select("case_id", "terms", "words", "n_pages", "reach")
     )
+    met = written(met, "met")
     by_reach = met.groupBy("case_id", "terms", "reach").agg(F.sum("n_pages").alias("n"))
     histogram = by_reach.groupBy("case_id", "terms").agg(F.collect_list(F.struct("reach", "n")).alias("_h"))
     pages_at = lambda m: F.aggregate(

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["pages", "retrieval", "scoring"]
+MODULES = ["pages", "retrieval", "scoring", "periods"]
 
 
 def load_all() -> None:
