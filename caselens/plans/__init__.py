@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["pages", "retrieval", "scoring", "periods"]
+MODULES = ["pages", "retrieval", "scoring", "periods", "safety"]
 
 
 def load_all() -> None:
