@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["pages", "retrieval", "scoring", "periods", "safety", "evidence"]
+MODULES = ["pages", "retrieval", "scoring", "periods", "safety", "evidence", "extraction"]
 
 
 def load_all() -> None:
