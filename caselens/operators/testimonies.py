@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caselens.functions.matching import cut, match_spans, pinned
 from caselens.functions.numbering import top_per_key
+from caselens.functions.scratch import written
 from caselens.functions.text import compact, flags, lines, present, squash, strip
 from caselens.operators.chunks import assemble_documents, confidence_name, confidence_rank
 from caselens.operators.documents import document_rows, joined_text
@@ -243,7 +244,7 @@ def phase_of(text: Column) -> Column:
 
 def testimonies(pages: DataFrame) -> DataFrame:
     """One record per testimony with phase, coverage, person, speech and the review flag."""
-    starts = testimony_starts(pages)
+    starts = written(testimony_starts(pages), "starts")
     members = testimony_pages(pages, starts)
     kinds = starts.select("case_id", F.col("page_number").alias("start_page"), "document_type", "role")
     docs = document_rows(members, pages, ["closed", "coverage"]).join(kinds, DOC)

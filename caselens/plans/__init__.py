@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["pages", "retrieval", "scoring", "periods", "safety", "evidence", "extraction"]
+MODULES = ["pages", "retrieval", "scoring", "periods", "safety", "evidence", "extraction", "suites"]
 
 
 def load_all() -> None:
