@@ -10,8 +10,15 @@ from caselens.operators.chunks import chunk_pages
 from caselens.operators.quality import grade_pages
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores where a table comes in fewer pieces than there are cores; a large table is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in ("documents", "orders") else df
 
 
 def raw_pages(spark: SparkSession, sf: str) -> DataFrame:
