@@ -8,12 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """New path under the cluster's checkpoint folder; a local folder only where none is set, as in tests."""
+def shared_root(spark: SparkSession) -> str:
+    """The cluster's shared folder, from ``spark.checkpoint.dir``; without it, a new temporary folder in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", root)
+    return root
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """New path under the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -25,3 +35,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(df: DataFrame) -> None:
+    """Delete the files of a written table that nothing reads any more."""
+    spark = df.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

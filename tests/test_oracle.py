@@ -6,8 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from caselens.plans import load_all
+from caselens.plans.registry import ORACLES, QUERIES
 from tools.compare import TABLES, compare
 
+load_all()
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -19,14 +22,14 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     line = compare(spark, con, SF, name)
     assert line.startswith(("ok", "rows")), line
 
 
 def test_every_query_has_a_check():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
