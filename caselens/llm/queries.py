@@ -28,7 +28,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
   FROM documents),
 s AS (
-  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), i -> array_to_string(ws[i:i + 4], ' '))) END AS items
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS items
   FROM w),
 k AS (SELECT s.*, min(doc_id) OVER (PARTITION BY list_sort(items)) AS first_id FROM s),
 c AS (SELECT doc_id, items FROM k WHERE doc_id = first_id AND len(items) > 0),
