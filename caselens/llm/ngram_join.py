@@ -6,11 +6,14 @@ shingles is hashed into n1 groups of n2 cells each. With n1 * (k2 + 1) > k, some
 enumerated subsets of n2 - k2 cells of each group hold one on which the pair agrees fully: its content's hash is the shared
 signature. No similar pair is lost; an exact comparison of the sets follows.
 
-Cells of one element or none say little and would gather unrelated documents. For large sets n exceeds k by a margin, so a similar
-pair agrees on at least n - k cells; such weak cells are left out unless a set has n - k of them, which keeps the guarantee.
-
-Documents with equal sets are one class from the start. A signature's classes are first compared with their smallest (a star), the
-matches merged into components; only classes of different components still meet, a block of 64 per signature and round, until no
+For all but the smallest sets there are twice as many cells as k + 1 (n2 = 1), so a similar pair agrees on m = n1 - k cells or more.
+Each set then leaves out its m - 1 least telling cells, in an order that depends on the content alone: the most telling cell that a
+pair shares has m - 1 shared ones behind it, so both sides keep it. Least telling are cells without a rare shingle, which would
+gather unrelated documents that share a passage; shingles found four times or more in one of 16 documents aren't rare. Which ones
+count as rare changes the cost, never the result.
+
+Documents with equal sets are one class from the start. A signature's smallest class is its head; every class is first compared with the head that it
+meets most often (a star), and the matches are merged into components; only classes of different components still meet, a block of 64 per signature and round, until no
 signature holds two components that have not been compared. So a group of near copies costs a row per member, not a row per pair.
 """
 
@@ -29,6 +32,10 @@ from caselens.llm import words as W
 
 #: Classes seen by a task whose signatures are not sent again.
 SEEN = 200_000
+#: Common shingles that are broadcast at most (8 bytes each).
+COMMON = 1 << 15
+#: Bits of the filter for candidate documents at most (16 MB).
+FILTER_BITS = 1 << 27
 #: Classes of one signature that meet all others of it in one round.
 BLOCK = 64
 
@@ -43,16 +50,17 @@ def bands(limit: int, percent: int) -> list[tuple[int, int, int, int, int]]:
             out.append((top, k, 1, 1, 0))
         elif k <= 2:
             out.append((top, k, 1, 6, k))
-        elif k <= 12:
-            out.append((top, k, k // 2 + 1, 4, 1))
         else:
-            out.append((top, k, (k + 1) * 5 // 4, 1, 0))
+            out.append((top, k, 2 * (k + 1), 1, 0))
     return out
 
 
-def set_signatures(values: np.ndarray, places: np.ndarray, codes: np.ndarray, table: list, percent: int) -> np.ndarray:
-    """Signatures of one set: its own band and those in which a larger partner may lie."""
-    size, found = len(values), []
+def set_signatures(places: np.ndarray, codes: np.ndarray, rare: np.ndarray, table: list, percent: int) -> np.ndarray:
+    """Signatures of one set: its own band and those in which a larger partner may lie.
+
+    ``places`` deal the elements into cells, ``codes`` are summed to a cell's content, ``rare`` marks those that aren't common.
+    """
+    size, found = len(places), []
     tops = [b[0] for b in table]
     first, last = np.searchsorted(tops, size), np.searchsorted(tops, size * 100 // percent)
     for band in range(int(first), int(last) + 1):
@@ -60,21 +68,14 @@ def set_signatures(values: np.ndarray, places: np.ndarray, codes: np.ndarray, ta
         cells = n1 * n2
         cell = ((places * np.uint64(cells)) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(cell, kind="stable")
-        count = np.bincount(cell, minlength=cells)
-        content = W.segment_sums(codes[order], np.concatenate([[0], np.cumsum(count)]))
+        content = W.segment_sums(codes[order], np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=cells))]))
         tag = np.uint64((band + 1) * 0x632BE59BD9B4E019 & W.MASK)
+        coded = W.mix(content + np.arange(cells, dtype=np.uint64) * np.uint64(W.BASE) + tag)
         if n2 == 1:
-            weak = count < 2
-            if cells > 1 and weak.sum() < cells - k:
-                keep = np.flatnonzero(~weak)
-            elif cells > 1 and (count == 0).sum() < cells - k:
-                keep = np.flatnonzero(count)
-            else:
-                keep = np.arange(cells)
-            found.append(W.mix(content[keep] + tag + keep.astype(np.uint64) * np.uint64(W.BASE)))
+            telling = np.bincount(cell[rare], minlength=cells)
+            found.append(coded[np.lexsort((coded, telling))][cells - k - 1 :])
         else:
-            # a sum over cells is the hash of a subset's content; the cell's place is in its code
-            coded = W.mix(content + np.arange(cells, dtype=np.uint64) * np.uint64(W.BASE) + tag).reshape(n1, n2)
+            coded = coded.reshape(n1, n2)
             for kept in combinations(range(n2), n2 - k2):
                 found.append(W.mix(coded[:, list(kept)].sum(axis=1, dtype=np.uint64) + np.uint64(sum(1 << i for i in kept))))
     return np.concatenate(found)
@@ -105,18 +106,34 @@ def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls long")
 
 
+def common_shingles(docs: DataFrame, width: int = 5) -> np.ndarray:
+    """Sorted hashes of the shingles seen most often in one of 16 documents, four times at least; ``COMMON`` of them at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, values, _ in _sets(batch, width):
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], ["item"])
+
+    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).select("doc_id", "text")
+    often = part.mapInArrow(run, "item long").groupBy("item").count().where("count >= 4")
+    rows = often.orderBy(F.desc("count"), "item").limit(COMMON).select("item").toPandas()
+    return np.sort(rows["item"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
 def signatures(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """sig, cls, size: the signatures of every distinct set. A task sends those of a class once."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        table = bands(2048, percent)
+        table, common = bands(2048, percent), shared.value
         for batch in batches:
             for _, values, at in _sets(batch, width):
                 kinds, sizes = _identity(values, at), np.diff(at)
                 if len(sizes) and table[-1][0] < sizes.max() * 2:
                     table = bands(int(sizes.max()) * 2, percent)
                 places, codes = W.mix(values ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32), W.mix(values + np.uint64(0xE7037ED1A0B428DB))
+                rare = ~np.isin(values, common)
                 sigs, who = [], []
                 for r in np.flatnonzero(sizes).tolist():
                     if (kind := int(kinds[r])) not in seen:
@@ -124,7 +141,7 @@ def signatures(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
                             seen.clear()
                         seen.add(kind)
                         s = slice(at[r], at[r + 1])
-                        sigs.append(set_signatures(values[s], places[s], codes[s], table, percent))
+                        sigs.append(set_signatures(places[s], codes[s], rare[s], table, percent))
                         who.append(r)
                 if not sigs:
                     continue
@@ -200,27 +217,30 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def similar_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """cls, label: the smallest class of its component, for each class that has a similar one."""
+def similar_classes(docs: DataFrame, firsts: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """cls, label: the smallest class of its component, for each class that has a similar one.
+
+    ``firsts`` has a document of each class (cls, class_id).
+    """
     shared = written(shared_signatures(signatures(docs, width, percent)), "shared")
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    wanted = shared.where(F.col("rank") == 0).select("cls").union(shared.where("rank > 0").select("cls")).distinct()
+    met = shared.where("rank > 0").select(F.explode(F.array("cls", "head")).alias("cls")).distinct()
+    wanted = written(firsts.join(met, "cls").select("cls", F.col("class_id").alias("doc_id")), "wanted")
     sets = written(class_sets(docs, wanted, width), "sets")
-    tried = shared.where((F.col("rank") > 0) & fits(F.col("size"), F.col("head_size"))).select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
-    tried = written(tried, "tried")
+    stars = shared.where((F.col("rank") > 0) & fits(F.col("size"), F.col("head_size"))).groupBy(F.col("cls").alias("b"), "head").count()
+    tried = written(stars.groupBy("b").agg(F.max_by("head", F.struct("count", "head")).alias("a")).select("a", "b"), "tried")
     edges = written(_verified(tried, sets, percent), "edges")
-    labels, low, top = components(edges), 0, None
+    labels, low = components(edges), 0
     while True:
         named = shared.join(labels, shared["cls"] == labels["node"], "left").select("sig", "cls", "size", "rank", F.coalesce("label", "cls").alias("label"))
-        open_ = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("rank").alias("top")).where("x <> y")
-        top = open_.agg(F.max("top")).first()[0]
-        if top is None or low > top:
+        open_ = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("rank").alias("top")).where(f"x <> y and top > {max(low, 1)}")
+        open_ = written(open_.select("sig"), "open")
+        if open_.isEmpty():
             return labels.select(F.col("node").alias("cls"), "label")
-        named = named.join(open_.select("sig"), "sig")
+        named = named.join(open_, "sig")
         block = named.where(F.col("rank").between(low, low + BLOCK - 1)).select("sig", F.col("cls").alias("c1"), F.col("size").alias("s1"), F.col("rank").alias("r1"), F.col("label").alias("l1"))
         pairs = named.join(block, "sig").where((F.col("rank") > F.col("r1")) & (F.col("label") != F.col("l1")) & fits(F.col("size"), F.col("s1")))
-        pairs = pairs.select(F.col("c1").alias("a"), F.col("cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "tried")
+        pairs = written(pairs.select(F.col("c1").alias("a"), F.col("cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "tried")
         more = written(_verified(pairs, sets, percent), "edges")
         tried = tried.union(pairs)
         low += BLOCK
@@ -230,17 +250,28 @@ def similar_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, width: int = 5) -> DataFrame:
-    """cls, items: the shingle hashes of each class in ``wanted``, from one of its documents."""
-    first = shingle_sets(docs, width).groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(wanted, "cls", "left_semi").select("doc_id", "cls")
+    """cls, items: the shingle hashes of each class in ``wanted`` (cls, doc_id: one of its documents).
+
+    A bit filter of bounded size keeps most other documents from being shuffled; the join is what decides.
+    """
+    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(12, (wanted.count() * 16).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    marks = wanted.groupBy((place / 64).cast("long").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int)))").alias("mark")).toPandas()
+    mask = np.zeros(max(1, bits // 64), dtype=np.int64)
+    mask[marks["word"].to_numpy(dtype=np.int64)] = marks["mark"].to_numpy(dtype=np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(mask)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first_row, values, at in _sets(batch, width):
-                items = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("cls").slice(first_row, len(at) - 1), items], ["cls", "items"])
+            at = batch.column("place").to_numpy()
+            maybe = (shared.value[at // 64] >> (at % 64)) & 1 > 0
+            some = batch.filter(pa.array(maybe))
+            for first_row, values, offsets in _sets(some, width):
+                items = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id").slice(first_row, len(offsets) - 1), items], ["doc_id", "items"])
 
-    texts = docs.select("doc_id", "text").join(first, "doc_id")
-    return texts.select("doc_id", "cls", "text").mapInArrow(run, "cls long, items array<long>").dropDuplicates(["cls"])
+    sets = docs.select("doc_id", "text", place.alias("place")).mapInArrow(run, "doc_id long, items array<long>").dropDuplicates(["doc_id"])
+    return sets.join(wanted, "doc_id").select("cls", "items")
 
 
 def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -252,7 +283,7 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     """
     base = written(shingle_sets(docs, width), "shingles")
     firsts = base.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"))
-    labels = similar_classes(docs.where(F.col("doc_id").isNotNull()), width, percent)
+    labels = similar_classes(docs.where(F.col("doc_id").isNotNull()), firsts, width, percent)
     named = written(firsts.join(labels, "cls", "left").select("cls", "class_id", "label"), "classes")
     least = named.where("label is not null").groupBy("label").agg(F.min("class_id").alias("component_id"))
     named = named.join(least, "label", "left").select("cls", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
