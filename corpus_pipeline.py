@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from caselens.functions.scratch import written
-from caselens.llm import language_id, ngram_join
+from caselens.llm import decontamination, language_id, mixing, ngram_join, toxicity
 from caselens.llm.tables import set_worker_path, table
 
 
@@ -13,11 +13,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.known_language(docs)
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.civil(docs, table(spark, sf_dir, "labels"))
+
+
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ngram_join.keep_one(docs)
 
 
-STAGES = [("language ID", identify_language), ("n-gram Jaccard join", join_near_copies)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", join_near_copies),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mix_sources),
+]
 
 #: Fitted models and iterated components: no single SQL statement has these rows; tests compare with brute force.
 ORACLE_SQL = None
