@@ -1,7 +1,8 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of ordinary and one of toxic text.
 
 Both begin with a dictionary trained on windows of ordinary documents; the toxic one goes on with a dictionary trained on toxic
-windows, cut to the words that toxic documents use more than ordinary ones. So a window is compressed alike by both unless toxic
+windows, cut to the words that toxic documents use more than ordinary ones (a word counts once per pair of neighbours, so that copies
+add nothing). So a window is compressed alike by both unless toxic
 text makes it shorter. A document's evidence is how many bytes that saves: the largest saving of a window, and how many windows
 save much. Half of the labelled sample trains dictionaries of several strengths; the other half picks one and calibrates: a logistic
 curve over the evidence and the number of windows gives the score, 0.5 is the threshold.
@@ -33,16 +34,16 @@ LEVEL = 3
 BASE_BYTES = 4096
 #: Labelled rows of each class that are fitted at most.
 SAMPLE = 1500
-#: (least share of toxic documents that use a word, bytes of the toxic dictionary): the strengths tried.
-STRENGTHS = ((0.005, 1024), (0.02, 512), (0.05, 512), (0.1, 256))
-#: Bytes saved by a window that count as much.
-MUCH = 5
+#: (least uses of a word per toxic document, bytes of the toxic dictionary, its segments' size): the strengths tried.
+STRENGTHS = ((0.01, 2048, 16), (0.02, 2048, 16), (0.03, 1024, 16), (0.03, 2048, 24), (0.06, 1024, 16), (0.06, 512, 24), (0.12, 512, 16))
+#: Bytes saved by a window that count as much: the thresholds tried.
+MUCH = (2, 3, 4, 5)
 LETTERS = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
 
 def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
-    """Runs of ``size`` words of the lower-cased text, a blank at either end; none for null or blank text."""
-    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
+    """Runs of ``size`` words (letters only, lower case) of the whole text, a blank between and at either end; none without words."""
+    words = LETTERS.findall((text or "").lower().encode("utf-8", "surrogatepass"))
     return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(0, len(words), size)]
 
 
@@ -51,6 +52,7 @@ class Model:
     ordinary: bytes
     toxic: bytes
     weights: list[float]
+    much: int = MUCH[0]
 
     def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
         return _compressor(self.ordinary), _compressor(self.toxic)
@@ -62,22 +64,22 @@ def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=False, write_dict_id=False)
 
 
-def _trained(size: int, samples: list[bytes]) -> bytes:
+def _trained(size: int, samples: list[bytes], segment: int = 0) -> bytes:
     """A trained dictionary; where there is too little text to train one, the samples' end."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=segment, d=6 if segment else 0).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
 
-def evidence(text: str | None, ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> list[float]:
+def savings(text: str | None, ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> list[int]:
+    """Bytes that the toxic dictionary saves in each window."""
+    return [len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows(text)]
+
+
+def evidence(saved: list[int], much: int) -> list[float]:
     """[1, largest saving, log of windows that save much, log of windows]."""
-    most, much, parts = 0, 0, windows(text)
-    for part in parts:
-        saved = len(ordinary.compress(part)) - len(toxic.compress(part))
-        most = max(most, saved)
-        much += saved >= MUCH
-    return [1.0, float(min(most, 16)), math.log1p(much), math.log1p(len(parts))]
+    return [1.0, float(min(max(saved, default=0), 16)), math.log1p(sum(x >= much for x in saved)), math.log1p(len(saved))]
 
 
 def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -105,25 +107,31 @@ def fit(texts: list[str | None], toxic: list[int], keys: list[int]) -> Model:
         return Model(b" ", b" ", [math.log(share / (1 - share)), 0.0, 0.0, 0.0])
     used: list[Counter] = [Counter(), Counter()]
     sizes = [0, 0]
+    met: list[set] = [set(), set()]
     for text, label, _ in train:
-        used[label].update(set(LETTERS.findall(text.lower().encode("utf-8", "surrogatepass"))))
+        words = LETTERS.findall(text.lower().encode("utf-8", "surrogatepass"))
+        met[label].update(zip([b"", *words], words, [*words[1:], b""], strict=False))
         sizes[label] += 1
+    for label in (0, 1):
+        used[label].update(w for _, w, _ in met[label])
     ratio = {w: (n + 0.5) / (sizes[1] + 1) / ((used[0][w] + 0.5) / (sizes[0] + 1)) for w, n in used[1].items() if n >= 3 and len(w) >= 3}
     ordinary = _trained(BASE_BYTES, [w for t, y, _ in train if not y for w in windows(t)][::5])
     y = np.array([r[1] for r in rest], dtype=float)
     best: tuple[float, Model] | None = None
-    for share, size in STRENGTHS:
+    for share, size, segment in STRENGTHS:
         marked = {w for w, r in ratio.items() if r > 10 and used[1][w] >= share * sizes[1]}
-        cut = [[x for x in w.split() if set(LETTERS.findall(x)) & marked] for t, label, _ in train if label for w in windows(t)]
+        cut = [[x for x in w.split(b" ") if x in marked] for t, label, _ in train if label for w in windows(t)]
         samples = [b" " + b" ".join(c) + b" " for c in cut if c]
-        model = Model(ordinary, ordinary + (_trained(size, samples) if samples else b""), [])
+        model = Model(ordinary, ordinary + (_trained(size, samples, segment) if samples else b""), [])
         pair = model.compressors()
-        x = np.array([evidence(t, *pair) for t, _, _ in rest])
-        model.weights = _curve(x, y).tolist()
-        p = np.clip(1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30))), 1e-9, 1 - 1e-9)
-        loss = float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
-        if best is None or loss < best[0]:
-            best = (loss, model)
+        saved = [savings(t, *pair) for t, _, _ in rest]
+        for much in MUCH:
+            x = np.array([evidence(v, much) for v in saved])
+            curve = _curve(x, y)
+            p = np.clip(1 / (1 + np.exp(-np.clip(x @ curve, -30, 30))), 1e-9, 1 - 1e-9)
+            loss = float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+            if best is None or loss < best[0]:
+                best = (loss, Model(model.ordinary, model.toxic, curve.tolist(), much))
     return best[1]
 
 
@@ -146,7 +154,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, w = shared.value.compressors(), np.array(shared.value.weights)
         for batch in batches:
-            x = np.array([evidence(t.as_py(), *pair) for t in batch.column("text")]).reshape(-1, len(w))
+            x = np.array([evidence(savings(t.as_py(), *pair), shared.value.much) for t in batch.column("text")]).reshape(-1, len(w))
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
