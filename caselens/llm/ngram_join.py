@@ -13,7 +13,7 @@ gather unrelated documents that share a passage; shingles found four times or mo
 count as rare changes the cost, never the result.
 
 Documents with equal sets are one class from the start. A signature's smallest class is its head; every class is first compared with the head that it
-meets most often (a star), and the matches are merged into components; only classes of different components still meet, a block of 64 per signature and round, until no
+meets most often (a star), and the matches are merged into components; only classes of different components still meet, a block of 512 per signature and round, until no
 signature holds two components that have not been compared. So a group of near copies costs a row per member, not a row per pair.
 """
 
@@ -37,7 +37,7 @@ COMMON = 1 << 15
 #: Bits of the filter for candidate documents at most (16 MB).
 FILTER_BITS = 1 << 27
 #: Classes of one signature that meet all others of it in one round.
-BLOCK = 64
+BLOCK = 512
 
 
 def bands(limit: int, percent: int) -> list[tuple[int, int, int, int, int]]:
