@@ -225,7 +225,7 @@ def score(docs: DataFrame, held_out: int = 1, parts: int = 5, path: str = VOCABU
                 place = np.minimum(np.searchsorted(keys, h), len(keys) - 1) if len(keys) else np.zeros(len(h), np.int64)
                 hit = keys[place] == h if len(keys) else np.zeros(len(h), bool)
                 own, where = place[hit], row[hit]
-                sums = [np.bincount(where, x, minlength=end - first) for x in (counted[own] > 0, np.log10(counted[own] + 0.5), lps[own])]
+                sums = [np.bincount(where, x, minlength=end - first).astype(float) for x in (counted[own] > 0, np.log10(counted[own] + 0.5), lps[own])]
                 other, at_row = h[~hit], row[~hit]
                 order = np.lexsort((other, at_row))
                 other, at_row = other[order], at_row[order]

@@ -143,10 +143,9 @@ def test_spotsigs_brute(spark):
 
 def test_spotsigs_chains(spark):
     text = F.lit("x The cat of the big mat; is gone")
-    spark.range(1).select(spotsigs.signatures(text).alias("s"))
     a, b, c = spark.range(1).select(spotsigs.signatures(text), spotsigs.signatures(F.lit("the cat big")), spotsigs.signatures(F.lit("no anchors here at"))).first()
     assert len(a) == 3 and set(b) < set(a)  # "the: cat big", "of the: big mat", "is: gone"
-    assert len(c) == 2  # "no: anchors here"; "at" has nothing behind it, "here" is content
+    assert len(c) == 1  # "no: anchors here"; "at" has nothing behind it
 
 
 def test_spotsigs_pairs(spark):
