@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,3 +44,10 @@ def removed(df: DataFrame) -> None:
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(file)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver forget finished jobs now: shuffle files that nothing refers to leave the executors' disks at once, not at the
+    driver's next full collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
