@@ -144,7 +144,7 @@ def word_counts(docs: DataFrame, train: Column) -> DataFrame:
         for batch in batches:
             data, at = W.text_bytes(batch.column("text"))
             teaches = batch.column("train").to_numpy(zero_copy_only=False)
-            for first, end, part, offsets in W.chunks(data, at, 4 * W.CHUNK):
+            for first, end, part, offsets in W.chunks(data, at, 16 * W.CHUNK):
                 low = W.LOWER[part]
                 start, stop, row = W.word_spans(low, offsets)
                 if not len(start):

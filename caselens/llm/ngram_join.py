@@ -4,7 +4,7 @@ Every document is the set of its distinct word 5-grams. Set sizes are dealt into
 set, of greatest size r, where similarity t bounds the symmetric difference by k = floor(2 r (1 - t) / (1 + t)). The domain of
 shingles is hashed into n1 groups of n2 cells each. With n1 * (k2 + 1) > k, some group has at most k2 differing cells, so that the
 enumerated subsets of n2 - k2 cells of each group hold one on which the pair agrees fully: its content's hash is the shared
-signature. No similar pair is lost; an exact comparison of the sets follows.
+signature. No similar pair is lost; an exact comparison of the sets follows, for pairs that parity marks (see ``parity_marks``) don't rule out.
 
 For all but the smallest sets there are twice as many cells as k + 1 (n2 = 1), so a similar pair agrees on m = n1 - k cells or more.
 Each set then leaves out its m - 1 least telling cells, in an order that depends on the content alone: the most telling cell that a
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselens.functions.scratch import written
+from caselens.functions.scratch import release, removed, written
 from caselens.llm import words as W
 
 #: Classes seen by a task whose signatures are not sent again.
@@ -38,6 +38,9 @@ COMMON = 1 << 15
 FILTER_BITS = 1 << 27
 #: Classes of one signature that meet all others of it in one round.
 BLOCK = 512
+#: 64-bit words of a set's parity marks, and their columns.
+MARKS = 8
+MARK_COLUMNS = [f"mark{i}" for i in range(MARKS)]
 
 
 def bands(limit: int, percent: int) -> list[tuple[int, int, int, int, int]]:
@@ -192,9 +195,26 @@ def shared_signatures(sigs: DataFrame) -> DataFrame:
     return sigs.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(run, "sig long, cls long, size int, rank int, head long, head_size int")
 
 
+def parity_marks(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``MARKS`` words per set: its elements are dealt into 64 * ``MARKS`` places, a bit tells whether a place has an odd number.
+
+    An element that only one of two sets has changes one bit, so the marks of two sets differ in no more bits than the sets in elements.
+    """
+    places, sets = 64 * MARKS, len(at) - 1
+    place = (W.mix(values ^ np.uint64(0x8EBC6AF09C88C6E3)) % np.uint64(places)).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(sets), np.diff(at)) * places + place, minlength=sets * places) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(sets, places), axis=1).view(np.int64).reshape(sets, MARKS)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar enough."""
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("items_b")), "b")
+    """Those pairs (a, b) whose sets are similar enough.
+
+    Parity marks bound the symmetric difference from below: pairs that they rule out never fetch their sets.
+    """
+    marks = lambda k: sets.select(F.col("cls").alias(k), F.col("n").alias(f"n_{k}"), *[F.col(m).alias(f"{m}_{k}") for m in MARK_COLUMNS])
+    apart = sum((F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in MARK_COLUMNS), F.lit(0))
+    near = pairs.join(marks("a"), "a").join(marks("b"), "b").where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    both = near.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("items_b")), "b")
     common = F.size(F.array_intersect("items_a", "items_b"))
     return both.where(100 * common >= percent * (F.size("items_a") + F.size("items_b") - common)).select("a", "b")
 
@@ -222,26 +242,33 @@ def similar_classes(docs: DataFrame, firsts: DataFrame, width: int = 5, percent:
 
     ``firsts`` has a document of each class (cls, class_id).
     """
+    spark = docs.sparkSession
     shared = written(shared_signatures(signatures(docs, width, percent)), "shared")
+    release(spark)
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     met = shared.where("rank > 0").select(F.explode(F.array("cls", "head")).alias("cls")).distinct()
     wanted = written(firsts.join(met, "cls").select("cls", F.col("class_id").alias("doc_id")), "wanted")
     sets = written(class_sets(docs, wanted, width), "sets")
+    release(spark)
     stars = shared.where((F.col("rank") > 0) & fits(F.col("size"), F.col("head_size"))).groupBy(F.col("cls").alias("b"), "head").count()
     tried = written(stars.groupBy("b").agg(F.max_by("head", F.struct("count", "head")).alias("a")).select("a", "b"), "tried")
     edges = written(_verified(tried, sets, percent), "edges")
+    release(spark)
     labels, low = components(edges), 0
     while True:
         named = shared.join(labels, shared["cls"] == labels["node"], "left").select("sig", "cls", "size", "rank", F.coalesce("label", "cls").alias("label"))
         open_ = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("rank").alias("top")).where(f"x <> y and top > {max(low, 1)}")
         open_ = written(open_.select("sig"), "open")
         if open_.isEmpty():
+            removed(shared)
+            removed(sets)
             return labels.select(F.col("node").alias("cls"), "label")
         named = named.join(open_, "sig")
         block = named.where(F.col("rank").between(low, low + BLOCK - 1)).select("sig", F.col("cls").alias("c1"), F.col("size").alias("s1"), F.col("rank").alias("r1"), F.col("label").alias("l1"))
         pairs = named.join(block, "sig").where((F.col("rank") > F.col("r1")) & (F.col("label") != F.col("l1")) & fits(F.col("size"), F.col("s1")))
         pairs = written(pairs.select(F.col("c1").alias("a"), F.col("cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "tried")
         more = written(_verified(pairs, sets, percent), "edges")
+        release(spark)
         tried = tried.union(pairs)
         low += BLOCK
         if not more.isEmpty():
@@ -250,7 +277,7 @@ def similar_classes(docs: DataFrame, firsts: DataFrame, width: int = 5, percent:
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, width: int = 5) -> DataFrame:
-    """cls, items: the shingle hashes of each class in ``wanted`` (cls, doc_id: one of its documents).
+    """cls, n, items and parity marks: the shingle hashes of each class in ``wanted`` (cls, doc_id: one of its documents).
 
     A bit filter of bounded size keeps most other documents from being shuffled; the join is what decides.
     """
@@ -268,10 +295,11 @@ def class_sets(docs: DataFrame, wanted: DataFrame, width: int = 5) -> DataFrame:
             some = batch.filter(pa.array(maybe))
             for first_row, values, offsets in _sets(some, width):
                 items = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id").slice(first_row, len(offsets) - 1), items], ["doc_id", "items"])
+                ids, marks = some.column("doc_id").slice(first_row, len(offsets) - 1), parity_marks(values, offsets)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offsets)), items, *[pa.array(m.copy()) for m in marks.T]], ["doc_id", "n", "items", *MARK_COLUMNS])
 
-    sets = docs.select("doc_id", "text", place.alias("place")).mapInArrow(run, "doc_id long, items array<long>").dropDuplicates(["doc_id"])
-    return sets.join(wanted, "doc_id").select("cls", "items")
+    sets = docs.select("doc_id", "text", place.alias("place")).mapInArrow(run, f"doc_id long, n long, items array<long>, {', '.join(f'{m} long' for m in MARK_COLUMNS)}")
+    return sets.dropDuplicates(["doc_id"]).join(wanted, "doc_id").select("cls", "n", "items", *MARK_COLUMNS)
 
 
 def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
