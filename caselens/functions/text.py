@@ -7,7 +7,10 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANKS = " \t\n\r\x0b\x0c"
+# Blanks beyond ASCII: no-break, figure, narrow, ideographic and the other spaces of fixed width.
+WIDE_BLANKS = "\u00A0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202F\u205F\u3000"
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85" + WIDE_BLANKS
+BLANK_RUN = rf"[\s\x1C-\x1F\x85{WIDE_BLANKS}]+"
 
 
 def _accent_table() -> tuple[str, str]:
@@ -46,16 +49,21 @@ def strip(c: Column | str) -> Column:
 
 def squash(c: Column | str) -> Column:
     """Collapse runs of blanks to one space and trim."""
-    return F.trim(F.regexp_replace(col(c), r"\s+", " "))
+    return F.trim(F.regexp_replace(col(c), BLANK_RUN, " "))
+
+
+def unmarked(c: Column | str) -> Column:
+    """Text without combining marks, so that decomposed accents fold like composed ones; offsets move."""
+    return F.regexp_replace(col(c), r"\p{Mn}+", "")
 
 
 def squash_fold(c: Column | str) -> Column:
-    return squash(fold(c))
+    return squash(fold(unmarked(c)))
 
 
 def words(c: Column | str) -> Column:
     """Blank-separated words; empty text gives an empty array."""
-    return F.filter(F.split(col(c), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(col(c), BLANK_RUN), lambda w: w != "")
 
 
 def word_count(c: Column | str) -> Column:
@@ -73,11 +81,11 @@ def present(c: Column) -> Column:
 
 def index_tokens(c: Column | str) -> Column:
     """Tokens of the index side: every run of letters and digits, short ones included."""
-    return F.regexp_extract_all(fold(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return F.regexp_extract_all(fold(unmarked(c)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
 def ascii_tokens(c: Column | str) -> Column:
-    return F.regexp_extract_all(fold(c), F.lit("([a-z0-9]+)"), F.lit(1))
+    return F.regexp_extract_all(fold(unmarked(c)), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
 def flags(*pairs: tuple[Column, str | Column]) -> Column:

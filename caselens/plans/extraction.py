@@ -47,7 +47,7 @@ def _docs(spark, sf):
 
 
 STARTS = """
-st AS (SELECT o_custkey AS case_id, o_orderkey AS k, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders QUALIFY n <= 20)"""
+st AS (SELECT o_custkey AS case_id, o_orderkey AS k, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)"""
 
 
 @query("x07_decision_starts", "WITH" + STARTS + " SELECT case_id, k * 4 AS page_number, 'sentenca' AS decision_type, n AS decision_no FROM st")

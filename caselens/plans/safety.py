@@ -52,14 +52,14 @@ def h02_pages(spark, sf):
 
 
 @query("h03_prepare_sources", """
-WITH t AS (SELECT source AS case_id, doc_id, lang, trim(substring(trim(text, chr(10) || ' '), 1, 3200), chr(10) || ' ') AS text FROM documents),
+WITH t AS (SELECT source AS case_id, doc_id, lang, trim(text, chr(10) || ' ') AS text FROM documents),
 one AS (SELECT case_id, lang, min(doc_id) AS rank FROM t WHERE text <> ''
   GROUP BY case_id, lang, trim(regexp_replace(strip_accents(lower(text)), '\\s+', ' ', 'g')))
-SELECT case_id, rank, source_no FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY rank) AS source_no FROM one) WHERE source_no <= 32""")
+SELECT case_id, rank, row_number() OVER (PARTITION BY case_id ORDER BY rank) AS source_no FROM one""")
 def h03(spark, sf):
     hits = table(spark, sf, "documents").select(
         F.col("source").alias("case_id"), F.col("lang").alias("page_number"), F.lit(0).alias("chunk_index"), F.col("doc_id").alias("rank"), "text")
-    return H.prepare_sources(hits, 32, 3200).select("case_id", "rank", "source_no")
+    return H.prepare_sources(hits).select("case_id", "rank", "source_no")
 
 
 def _identified(spark, sf):
