@@ -116,20 +116,23 @@ def _place(text: str, end: int, length: int) -> tuple[int, int]:
     return first or 0, last
 
 
+def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """(item_id, normal text) of all items, about ``BLOCK`` at a time; items without an id or words are left out."""
+    blocks = max(1, -(-items.count() // BLOCK))
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).select("item_id", "text").distinct().collect()
+        yield [(r["item_id"], text) for r in rows if r["item_id"] is not None and (text := normal(r["text"]))]
+
+
 def matches(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, item_id, distance, start, end: the best occurrence of each item in each text, if there is one within the budget.
 
     start and end are code points of the whole text. Null and empty texts and items match nothing; items with equal normal text each
     match; a repeated row of ``docs`` gives repeated rows; other columns are not read.
     """
-    spark = docs.sparkSession
-    count = items.count()
-    blocks = max(1, -(-count // BLOCK))
     out = None
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).select("item_id", "text").distinct().collect()
-        part = [(r["item_id"], text) for r in rows if r["item_id"] is not None and (text := normal(r["text"]))]
-        shared = spark.sparkContext.broadcast(part)
+    for part in item_blocks(items):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             part = shared.value
@@ -153,7 +156,16 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
-    """All columns of the rows in which no item occurs. Rows with a null doc_id stay if their own text is free of items: they are
-    matched under no id, so they are kept."""
-    bad = matches(docs.where("doc_id is not null"), items, rate).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """All columns of the rows in which no item occurs. Each row is judged by its own text, whatever its doc_id, and no row is shuffled."""
+    for part in item_blocks(items):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            part = shared.value
+            machine = automaton(part, rate)
+            for batch in batches:
+                clean = [machine is None or not t.is_valid or not search(normal(t.as_py()), machine, part, rate) for t in batch.column("text")]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -83,24 +83,34 @@ def fit(docs: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDER
     return langs, np.log(np.vstack([body / body.sum(axis=0), counts[-1:] / counts[-1:].sum()])).astype(np.float32)
 
 
+def _columns(matrix: np.ndarray) -> list[np.ndarray]:
+    """The log-probabilities of each language, without the prior."""
+    return [np.ascontiguousarray(matrix[:-1, j], dtype=np.float64) for j in range(matrix.shape[1])]
+
+
+def _predicted(batch: pa.RecordBatch, langs: list[str], matrix: np.ndarray, columns: list[np.ndarray], orders: tuple[int, ...]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end, language, posterior) of runs of rows."""
+    data, at = W.text_bytes(batch.column("text"))
+    for first, end, part, offsets in W.chunks(data, at, PIECE):
+        bucket, row, some = ngrams(part, offsets, len(matrix) - 1, orders)
+        names, scores = np.full(end - first, UNKNOWN, dtype=object), np.zeros(end - first)
+        if langs:
+            total = np.stack([np.bincount(row, weights=c[bucket], minlength=end - first) for c in columns], axis=1) + matrix[-1]
+            odds = np.exp(total - total.max(axis=1, keepdims=True))
+            names[some] = np.array(langs, dtype=object)[total.argmax(axis=1)][some]
+            scores[some] = (odds.max(axis=1) / odds.sum(axis=1))[some]
+        yield first, end, names, scores
+
+
 def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, orders: tuple[int, ...] = ORDERS) -> DataFrame:
     """doc_id, lang_pred, score per row. Texts that are null or hold no letter get ``und`` and score 0, as do all texts if no
     language was learned; ties go to the first language in the alphabet; other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(matrix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        columns = [np.ascontiguousarray(table[:-1, j], dtype=np.float64) for j in range(len(langs))]
+        columns = _columns(shared.value)
         for batch in batches:
-            data, at = W.text_bytes(batch.column("text"))
-            for first, end, part, offsets in W.chunks(data, at, PIECE):
-                bucket, row, some = ngrams(part, offsets, len(table) - 1, orders)
-                names, scores = np.full(end - first, UNKNOWN, dtype=object), np.zeros(end - first)
-                if langs:
-                    total = np.stack([np.bincount(row, weights=c[bucket], minlength=end - first) for c in columns], axis=1) + table[-1]
-                    odds = np.exp(total - total.max(axis=1, keepdims=True))
-                    names[some] = np.array(langs, dtype=object)[total.argmax(axis=1)][some]
-                    scores[some] = (odds.max(axis=1) / odds.sum(axis=1))[some]
+            for first, end, names, scores in _predicted(batch, langs, shared.value, columns, orders):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -115,8 +125,17 @@ def detect(docs: DataFrame, held_out: int = 1, parts: int = 3) -> DataFrame:
 def known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """All columns of the rows whose language is recognised: not ``und``, and a posterior of ``least`` or more.
 
-    The model is fitted on the same documents. Decisions are joined by doc_id; rows with a null doc_id go.
+    The model is fitted on the same documents. Each row is judged by its own text, whatever its doc_id, and no row is shuffled.
     """
     langs, matrix = fit(docs)
-    good = predict(docs, langs, matrix).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(matrix)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = _columns(shared.value)
+        for batch in batches:
+            good = np.zeros(batch.num_rows, dtype=bool)
+            for first, end, names, scores in _predicted(batch, langs, shared.value, columns, ORDERS):
+                good[first:end] = (names != UNKNOWN) & (scores >= least)
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

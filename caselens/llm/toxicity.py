@@ -147,15 +147,20 @@ def fit_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     return fit(found["text"].tolist(), found["toxic"].tolist(), found["doc_id"].tolist())
 
 
+def _scored(batch: pa.RecordBatch, model: Model, pair: tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]) -> np.ndarray:
+    w = np.array(model.weights)
+    x = np.array([evidence(savings(t.as_py(), *pair), model.much) for t in batch.column("text")]).reshape(-1, len(w))
+    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+
+
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted (1 from 0.5 on) per row; null and empty texts get the curve's value for no window."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, w = shared.value.compressors(), np.array(shared.value.weights)
+        pair = shared.value.compressors()
         for batch in batches:
-            x = np.array([evidence(savings(t.as_py(), *pair), shared.value.much) for t in batch.column("text")]).reshape(-1, len(w))
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            p = _scored(batch, shared.value, pair)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
@@ -168,6 +173,12 @@ def judge(docs: DataFrame, labels: DataFrame, held_out: int = 0, parts: int = 5)
 
 
 def civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """All columns of the rows that aren't predicted toxic; decisions are joined by doc_id, rows with a null doc_id go."""
-    good = scores(docs, fit_rows(docs, labels)).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+    """All columns of the rows that aren't predicted toxic. Each row is judged by its own text, whatever its doc_id, and no row is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_rows(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = shared.value.compressors()
+        for batch in batches:
+            yield batch.filter(pa.array(_scored(batch, shared.value, pair) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

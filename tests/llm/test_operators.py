@@ -184,7 +184,8 @@ def test_toxicity_odd(spark, odd, empty):
     got = toxicity.judge(odd, labels)
     assert got.count() == odd.count() and got.where("score is null").isEmpty()
     assert toxicity.judge(empty, labels).count() == 0 and toxicity.judge(odd, labels.limit(0)).count() == odd.count()
-    assert toxicity.civil(odd, labels.limit(0)).columns == odd.columns
+    kept = toxicity.civil(odd, labels.limit(0))
+    assert kept.columns == odd.columns and kept.count() == odd.count() and toxicity.civil(empty, labels).isEmpty()
 
 
 def test_quality_held_out(spark):
@@ -376,6 +377,8 @@ def test_decontamination_odd(spark, odd, empty):
     assert {r.doc_id for r in decontamination.matches(odd, items).collect()} == {4, 5}
     kept = decontamination.uncontaminated(odd, items)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 3
+    named = odd.withColumn("doc_id", F.lit(None).cast("long"))
+    assert decontamination.uncontaminated(named, items).count() == odd.count() - 3
     assert decontamination.matches(empty, items).count() == 0 and decontamination.matches(odd, items.limit(0)).count() == 0
 
 
@@ -451,7 +454,9 @@ def test_language_odd(odd, empty):
     got = {r.doc_id: r for r in language_id.detect(odd).collect()}
     assert got[1].lang_pred == got[0].lang_pred == got[8].lang_pred == "und" and got[3].lang_pred == "en"
     assert language_id.detect(empty).count() == 0
-    assert language_id.known_language(odd).columns == odd.columns
+    kept = language_id.known_language(odd)
+    assert kept.columns == odd.columns and kept.where("text = 'text of nobody'").count() == 1
+    assert kept.where("text is null or text in ('', '!!! ???')").isEmpty() and language_id.known_language(empty).isEmpty()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
