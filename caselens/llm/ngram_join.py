@@ -257,7 +257,7 @@ def similar_classes(docs: DataFrame, firsts: DataFrame, width: int = 5, percent:
     labels, low = components(edges), 0
     while True:
         named = shared.join(labels, shared["cls"] == labels["node"], "left").select("sig", "cls", "size", "rank", F.coalesce("label", "cls").alias("label"))
-        open_ = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("rank").alias("top")).where(f"x <> y and top > {max(low, 1)}")
+        open_ = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("rank").alias("top")).where(f"x <> y and top > {low}")
         open_ = written(open_.select("sig"), "open")
         if open_.isEmpty():
             removed(shared)

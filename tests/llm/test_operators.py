@@ -95,6 +95,34 @@ def test_ngram_join_small_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs).collect()} == brute_components(texts)[0]
 
 
+def hubs(seed, groups):
+    """Per group A, B, C: B of 9 to 20 shingles, A with one end of it edited and C with the other, so far that A and C aren't similar."""
+    r, out = random.Random(seed), []
+    for _ in range(groups):
+        n = r.randint(9, 20)
+        e = 1 if n < 18 else 2
+        base = [f"w{r.randint(0, 10**9)}" for _ in range(n + 4)]
+        other = [f"e{r.randint(0, 10**9)}" for _ in range(2 * e)]
+        three = [other[:e] + base[e:], base, base[:-e] + other[e:]]
+        r.shuffle(three)
+        out.append([" ".join(w) for w in three])
+    return out
+
+
+def test_ngram_join_hubs(spark):
+    """A signature of two classes is compared although the star has tried the greater one against another head."""
+    set_worker_path(spark)
+    texts, want = {}, {}
+    for seed in range(40):
+        for group in hubs(seed, 50):
+            part = dict(enumerate(group, len(texts)))
+            texts.update(part)
+            want.update(brute_components(part)[0])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs).collect()}
+    assert len(got) == len(want) and {i: c for i, c in got.items() if want[i] != c} == {}
+
+
 def test_ngram_join_odd(odd, empty):
     got = ngram_join.ngram_components(odd).collect()
     assert len(got) == odd.count() and {r.component_id for r in got if r.doc_id in (4, 5)} == {4}
