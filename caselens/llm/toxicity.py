@@ -82,28 +82,31 @@ def evidence(saved: list[int], much: int) -> list[float]:
     return [1.0, float(min(max(saved, default=0), 16)), math.log1p(sum(x >= much for x in saved)), math.log1p(len(saved))]
 
 
-def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights of a ridge logistic regression, by Newton steps."""
+def _curve(x: np.ndarray, y: np.ndarray, counts: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a ridge logistic regression, by Newton steps; a row counts ``counts`` times."""
     w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     keep[0] = 1e-3
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (y - p) - keep * w)
+        step = np.linalg.solve((x * (counts * p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (counts * (y - p)) - keep * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def fit(texts: list[str | None], toxic: list[int], keys: list[int]) -> Model:
+def fit(texts: list[str | None], toxic: list[int], keys: list[int], totals: tuple[int, int] | None = None) -> Model:
     """The model from labelled texts. ``keys`` (ids) deal them into the training and the calibration half.
 
+    ``totals``: labelled rows of class 0 and 1 that the texts stand for (by default the texts themselves). Calibration rows are
+    weighted so that the classes have these shares, whatever part of each class was taken.
     Repeated texts count once. With one class only, the score is that class's share everywhere.
     """
+    whole = totals or (toxic.count(0), toxic.count(1))
     rows = list({t: (t, int(y), zlib.crc32(f"half{k}".encode()) % 2) for t, y, k in sorted(zip(texts, toxic, keys, strict=True), key=lambda r: -r[2]) if t and t.strip()}.values())
     train, rest = [r for r in rows if r[2]], [r for r in rows if not r[2]]
     if len({r[1] for r in train}) < 2 or len({r[1] for r in rest}) < 2:
-        share = min(max(np.mean([r[1] for r in rows]) if rows else 0.0, 1e-6), 1 - 1e-6)
+        share = min(max(whole[1] / sum(whole) if rows else 0.0, 1e-6), 1 - 1e-6)
         return Model(b" ", b" ", [math.log(share / (1 - share)), 0.0, 0.0, 0.0])
     used: list[Counter] = [Counter(), Counter()]
     sizes = [0, 0]
@@ -115,8 +118,9 @@ def fit(texts: list[str | None], toxic: list[int], keys: list[int]) -> Model:
     for label in (0, 1):
         used[label].update(w for _, w, _ in met[label])
     ratio = {w: (n + 0.5) / (sizes[1] + 1) / ((used[0][w] + 0.5) / (sizes[0] + 1)) for w, n in used[1].items() if n >= 3 and len(w) >= 3}
-    ordinary = _trained(BASE_BYTES, [w for t, y, _ in train if not y for w in windows(t)][::5])
+    ordinary = _trained(BASE_BYTES, [w for t, y, _ in train if not y for w in windows(t)])
     y = np.array([r[1] for r in rest], dtype=float)
+    counts = np.where(y == 1, whole[1] / y.sum(), whole[0] / (1 - y).sum()) * len(y) / sum(whole)
     best: tuple[float, Model] | None = None
     for share, size, segment in STRENGTHS:
         marked = {w for w, r in ratio.items() if r > 10 and used[1][w] >= share * sizes[1]}
@@ -127,24 +131,26 @@ def fit(texts: list[str | None], toxic: list[int], keys: list[int]) -> Model:
         saved = [savings(t, *pair) for t, _, _ in rest]
         for much in MUCH:
             x = np.array([evidence(v, much) for v in saved])
-            curve = _curve(x, y)
+            curve = _curve(x, y, counts)
             p = np.clip(1 / (1 + np.exp(-np.clip(x @ curve, -30, 30))), 1e-9, 1 - 1e-9)
-            loss = float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+            loss = float(-(counts * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
             if best is None or loss < best[0]:
                 best = (loss, Model(model.ordinary, model.toxic, curve.tolist(), much))
     return best[1]
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
-    """Fit on at most ``rows`` labelled documents of either class, those with the smallest hashes of doc_id, with their whole texts.
+    """Fit on at most ``rows`` labelled documents of either class, those with the smallest hashes of doc_id, with their whole texts;
+    the curve is calibrated to the classes' shares of all labelled documents.
 
     Labels other than 0 and 1 teach nothing. Of repeated labels of a document the greatest counts.
     """
     marks = labels.select("doc_id", "toxic").where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = marks.join(docs.select("doc_id").distinct(), "doc_id")
+    totals = dict(known.groupBy("toxic").count().collect())
     ids = bounded_sample(known.where("toxic = 1"), "doc_id", rows).union(bounded_sample(known.where("toxic = 0"), "doc_id", rows))
     found: pd.DataFrame = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).toPandas()
-    return fit(found["text"].tolist(), found["toxic"].tolist(), found["doc_id"].tolist())
+    return fit(found["text"].tolist(), found["toxic"].tolist(), found["doc_id"].tolist(), (totals.get(0, 0), totals.get(1, 0)))
 
 
 def _scored(batch: pa.RecordBatch, model: Model, pair: tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]) -> np.ndarray:

@@ -207,6 +207,18 @@ def test_toxicity_held_out(spark):
     assert got.count() == 10_000 and got.where("score < 0 or score > 1 or (predicted = 1) <> (score >= 0.5)").isEmpty()
 
 
+def test_toxicity_prior(spark):
+    """The scores keep to the labels' share of toxic rows, also where more rows of either class are labelled than are fitted."""
+    set_worker_path(spark)
+    big = SF.replace("0.01", "0.1")
+    labels = spark.read.parquet(f"{big}/labels.parquet").select("doc_id", "toxic")
+    docs = spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id")
+    often = lambda df: df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("doc_id", F.col("doc_id") * 20 + F.col("copy")).drop("copy")
+    share = labels.agg(F.avg("toxic")).first()[0]
+    once, many = (toxicity.scores(docs, m).toPandas()["score"].mean() for m in (toxicity.fit_rows(docs, labels), toxicity.fit_rows(often(docs), often(labels))))
+    assert abs(once - share) < 0.04 and abs(many - share) < 0.04, (share, once, many)
+
+
 def test_toxicity_odd(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1, None), (5, 0, 2), (None, 1, 1), (4, 0, 0)], "doc_id long, toxic int, score int")
     got = toxicity.judge(odd, labels)
