@@ -69,12 +69,12 @@ def chunks(data: np.ndarray, at: np.ndarray, size: int = CHUNK) -> Iterator[tupl
         row = end
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every word; words end with their row."""
+def word_spans(data: np.ndarray, at: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every run of bytes outside ``blank``; runs end with their row."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    solid = ~BLANK[data]
+    solid = ~blank[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     begins = at[:-1][at[:-1] < at[1:]]
@@ -88,11 +88,32 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes: a polynomial from prefix sums, with the span's place divided out."""
-    up, down = powers(len(data))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_CODE[data] * up, out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    """64-bit hash of each span of bytes: a polynomial from prefix sums, with the span's place divided out.
+
+    Spans are in order and don't overlap. They are hashed in stretches of at most ``CHUNK`` bytes; a longer span in parts.
+    """
+    out = np.zeros(len(start), dtype=np.uint64)
+    first = 0
+    while first < len(start):
+        at = int(start[first])
+        last = max(first + 1, int(np.searchsorted(end, at + CHUNK, side="right")))
+        stop = int(end[last - 1])
+        if stop - at <= CHUNK:
+            up, down = powers(stop - at + 1)
+            total = np.zeros(stop - at + 1, dtype=np.uint64)
+            np.cumsum(BYTE_CODE[data[at:stop]] * up[:-1], out=total[1:])
+            a, b = start[first:last] - at, end[first:last] - at
+            out[first:last] = (total[b] - total[a]) * down[a]
+        else:
+            up, _ = powers(CHUNK)
+            value, shift = 0, 1
+            for k in range(at, stop, CHUNK):
+                part = data[k : min(k + CHUNK, stop)]
+                value = (value + shift * int(np.sum(BYTE_CODE[part] * up[: len(part)], dtype=np.uint64))) & MASK
+                shift = shift * pow(BASE, len(part), 1 << 64) & MASK
+            out[first] = value
+        first = last
+    return mix(out + (end - start).astype(np.uint64))
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
