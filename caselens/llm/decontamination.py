@@ -3,7 +3,7 @@
 Texts and test items are normalised to lower-cased words joined by single blanks. An item of m characters may occur with up to
 e = floor(rate * m) edits. Cut into e + 1 pieces, one of which an occurrence leaves unchanged, it is found by exact piece hits (one
 automaton over the pieces of a block of items), and each hit's surroundings are verified by Myers' bit-parallel edit distance. Whole
-texts are searched; every hit is verified unless an equal place of the same item has been.
+texts are searched; every hit is verified unless it lies where the item's last verification has looked.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ RATE = 0.08
 BLOCK = 20_000
 #: Items under so many characters must match exactly and between word ends.
 SHORT = 24
+#: Starts behind a hit's that are verified with it.
+AHEAD = 64
 WORD = re.compile(r"\w+")
 SCHEMA = "doc_id long, item_id long, distance int, start long, end long"
 
@@ -65,7 +67,7 @@ def best_match(item: str, text: str, budget: int) -> tuple[int, int] | None:
 def search(text: str, machine: ahocorasick.Automaton, items: list[tuple[int, str]], rate: float = RATE) -> dict[int, tuple[int, int]]:
     """item id -> (distance, end) of its best occurrence in a normalised text."""
     found: dict[int, tuple[int, int]] = {}
-    done: dict[int, int] = {}
+    done: dict[int, tuple[int, int]] = {}  # of each item, the starts up to which its last surroundings were verified
     for end, hits in machine.iter(text):
         for k, offset, length in hits:
             item_id, item = items[k]
@@ -76,12 +78,13 @@ def search(text: str, machine: ahocorasick.Automaton, items: list[tuple[int, str
                 if (start == 0 or text[start - 1] == " ") and (start + m == len(text) or text[start + m] == " "):
                     found.setdefault(item_id, (0, start + m))
                 continue
-            if done.get(k, -1) >= start:  # the last verified surroundings held these
+            first, last = done.get(k, (1, 0))
+            if first <= start <= last:
                 continue
-            low = max(0, start - budget)
-            high = start + m + 2 * budget + 64
-            got = best_match(item, text[low:high], budget)
-            done[k] = start + 64
+            # an occurrence with this piece begins within the budget of the hit's start and ends within it of start + m
+            low = max(0, start - 2 * budget)
+            got = best_match(item, text[low : start + AHEAD + m + budget], budget)
+            done[k] = start - budget, start + AHEAD
             if got and (item_id not in found or (got[0], low + got[1]) < found[item_id]):
                 found[item_id] = (got[0], low + got[1])
     return found
@@ -104,7 +107,10 @@ def automaton(items: list[tuple[int, str]], rate: float = RATE) -> ahocorasick.A
 def _place(text: str, end: int, length: int) -> tuple[int, int]:
     """Normalised (end, length) as code points of the text itself."""
     at, first, last = 0, None, 0
-    for word in WORD.finditer(text.lower()):
+    low = text.lower()
+    # a few letters have two code points in lower case
+    source = None if len(low) == len(text) else [i for i, c in enumerate(text) for _ in c.lower()]
+    for word in WORD.finditer(low):
         stop = at + len(word[0])
         if first is None and stop > end - length:
             first = word.start()
@@ -113,7 +119,8 @@ def _place(text: str, end: int, length: int) -> tuple[int, int]:
         at = stop + 1
         if at >= end:
             break
-    return first or 0, last
+    first = first or 0
+    return (first, last) if source is None else (source[first], source[last - 1] + 1)
 
 
 def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
