@@ -24,9 +24,19 @@ PAGES = 700
 EPOCHS = 5
 
 # Tags that stay inside a block, tags without an end, and those whose content is no text.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style title head noscript template textarea select option button svg iframe object math canvas".split())
+INLINE = frozenset((
+    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s",
+    "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "math", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt",
+    "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mtable", "mtr", "mtd", "mpadded", "mphantom", "mstyle", "mmultiscripts", "menclose", "merror", "semantics",
+))
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
+SILENT = frozenset((
+    "script", "style", "title", "head", "noscript", "template", "textarea", "select", "option", "button", "svg", "iframe", "object", "canvas", "annotation", "annotation-xml",
+))
+#: Of these, those whose content runs to the page's end where no end tag follows, as it isn't markup; a start of the others without an end
+#: hides only the text up to the next tag. Those of APART stand between the words before and after them.
+RAW = frozenset(("script", "style", "title", "textarea"))
+APART = frozenset(("textarea", "select", "option", "button", "svg", "iframe", "object", "canvas"))
 #: A start of the key tag ends an open one of these.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
@@ -34,10 +44,12 @@ CLOSES = {
 }
 #: Ends of what CLOSES looks at.
 FENCE = frozenset("ul ol dl table body article section div main td th".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)>", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[a-z]+")
 CUES = tuple(sorted({w for group in (ADS, FOOT, NOTE, SAY, SIDE) for w in group}))
+#: Cue words are looked for in blocks under so many characters: longer ones are prose, in which such words say nothing of the block's purpose.
+CUE_CHARS = 2000
 CUE = re.compile(r"\b(?:" + "|".join(re.escape(c) for c in CUES) + r")\b|©")
 
 
@@ -54,7 +66,26 @@ def _node(tag: str, attributes: str) -> str:
     words: list[str] = []
     for m in NAMED.finditer(attributes):
         words += PART.findall((m[1] or m[2] or m[3] or "").lower())
-    return "#".join([tag, *dict.fromkeys(words)][:8])
+    return "#".join([tag, *dict.fromkeys(words)])
+
+
+@lru_cache(maxsize=64)
+def _ends(tag: str) -> re.Pattern:
+    return re.compile(rf"<(/?){re.escape(tag)}(?![\w:-])[^>]*>", re.I)
+
+
+def _behind(page: str, tag: str, at: int) -> int:
+    """Where a silent element ends whose start tag ends at ``at``."""
+    if tag in RAW:
+        end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+        return end.end() if end else len(page)
+    depth = 1
+    for m in _ends(tag).finditer(page, at):
+        depth += -1 if m[1] else not m[0].endswith("/>")
+        if depth == 0:
+            return m.end()
+    after = page.find("<", at)
+    return len(page) if after < 0 else after
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
@@ -101,6 +132,12 @@ def leaf_blocks(page: str | None) -> list[Block]:
             elif tag == "br":
                 add(" ")
             continue
+        if tag in SILENT and tag != "head":
+            if not token[1] and not token[3].rstrip().endswith("/"):
+                at = _behind(page, tag, at)
+            if tag in APART and parts:
+                add(" ")
+            continue
         flush()
         if token[1]:
             in_link = False
@@ -108,13 +145,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 while stack.pop()[0] != tag:
                     pass
             continue
-        if tag in SILENT:
-            if tag == "head":
-                end = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
-                at = (end.start() if end and end[0][1] != "/" else end.end()) if end else at
-            elif not token[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else size
+        if tag == "head":
+            end = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
+            at = (end.start() if end and end[0][1] != "/" else end.end()) if end else at
             continue
         if ends := CLOSES.get(tag):
             for k in range(len(stack) - 1, -1, -1):
@@ -153,7 +186,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
             own.append("stop")
         if "," in b.text:
             own.append("comma")
-        own += [f"cue:{c}" for c in set(CUE.findall(b.text.lower()))] if size < 2000 else []
+        own += [f"cue:{c}" for c in set(CUE.findall(b.text.lower()))] if size < CUE_CHARS else []
         if k == 0:
             own.append("first")
         if k == len(blocks) - 1:
@@ -256,9 +289,9 @@ def fitted(pages: int = PAGES, epochs: int = EPOCHS) -> Field:
 
 
 def article(page: str | None, field: Field) -> str:
-    """The main text: its blocks joined by a line feed; empty for null, empty or articleless pages."""
+    """The main text: its blocks joined by two line feeds; empty for null, empty or articleless pages."""
     blocks = leaf_blocks(page)
-    return "\n".join(b.text for b, y in zip(blocks, field.decode(features(blocks)), strict=True) if y)
+    return "\n\n".join(b.text for b, y in zip(blocks, field.decode(features(blocks)), strict=True) if y)
 
 
 def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from html import unescape
 
 import duckdb
 import numpy as np
@@ -392,10 +393,16 @@ def test_decontamination_brute(spark):
     set_worker_path(spark)
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
-    items = [(k, " ".join(word() for _ in range(r.randint(6, 40)))) for k in range(12)] + [(90, None), (91, ""), (92, "tiny")]
+    items = [(k, " ".join(word() for _ in range(r.randint(6, 40)))) for k in range(12)]
+    for k in range(12, 24):  # phrases that repeat, as in multiple choice
+        phrase = " ".join(word() for _ in range(3))
+        items.append((k, " ".join(f"{phrase} {word()}" for _ in range(r.randint(3, 6)))))
+    items += [(90, None), (91, ""), (92, "tiny")]
     docs = [(i, " ".join(word() for _ in range(60))) for i in range(20)] + [(50, "a tiny thing"), (51, "tinyx"), (52, None), (53, "")]
-    for i in range(30):
-        text = list(r.choice(items[:12])[1])
+    docs.append((54, "pre fix words zbg dhab hgzec cehb gbg dhahb hghec hgg gbg dhahb hhec ehd gbg dhahb hzhec ecf post fix words"))
+    items.append((93, "gbg dhahb hghec cechb gbg dhahb hghec hgg gbg dhahb hghec ehd gbg dhahb hghec ecf"))
+    for i in range(150):
+        text = list(r.choice(items[:24])[1])
         for _ in range(r.randint(0, int(0.1 * len(text)))):
             k = r.randrange(len(text))
             text[k : k + 1] = r.choice(["", "z", text[k] + "y"])
@@ -409,7 +416,10 @@ def test_decontamination_brute(spark):
             if m and n and (d := edits(m, n)) <= (int(decontamination.RATE * len(m)) if len(m) >= decontamination.SHORT else 0) and (len(m) >= decontamination.SHORT or f" {m} " in f" {n} "):
                 want[i, k] = d
     assert {(x.doc_id, x.item_id): x.distance for x in got} == want and len(want) > 15
+    assert want[54, 93] == 6
     assert all(0 <= x.start < x.end <= len(dict(docs)[x.doc_id]) for x in got)
+    text = "İİİ one İx two İ three"  # three of its letters are two code points in lower case
+    assert decontamination._place(text, len(decontamination.normal(text)), len("three")) == (text.index("three"), len(text))
 
 
 def test_decontamination_odd(spark, odd, empty):
@@ -422,6 +432,24 @@ def test_decontamination_odd(spark, odd, empty):
     assert decontamination.matches(empty, items).count() == 0 and decontamination.matches(odd, items.limit(0)).count() == 0
 
 
+FOREIGN = [
+    (
+        "<!doctype html><html><head><title>t</title></head><body class=home><div class='topnav'><a href=/>Home</a> <a href=/a>About us</a></div><main role=main><h1>How rivers move</h1>"
+        "<p>Rivers carry sand, silt and stones from the hills to the sea, and drop them where the water slows.</p><figure><img src=a.png><figcaption>A bend of the river in spring.</figcaption></figure>"
+        "<h2>Floods</h2><p>After heavy rain the water spreads over the plain. It leaves a thin layer of mud&nbsp;&mdash; good soil.</p></main>"
+        "<footer><p>Copyright 2020. All rights reserved.</p></footer></body></html>",
+        "How rivers move\n\nRivers carry sand, silt and stones from the hills to the sea, and drop them where the water slows.\n\nA bend of the river in spring.\n\nFloods\n\n"
+        "After heavy rain the water spreads over the plain. It leaves a thin layer of mud \u2014 good soil.",
+    ),
+    (
+        "<html><body><header class='site-header'><p>Daily News</p></header><div id=content><article class=post><h1>Bread</h1><ol><li>Mix flour and water.</li><li>Wait for one hour, then bake.</li></ol>"
+        "<table><tr><td>Flour</td><td>500 g</td></tr></table></article></div><div class=sidebar><h3>Most read</h3><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></div>"
+        "<section id=comments><div class=comment><p>Nice recipe, thank you!</p></div></section><div class=cookie-notice>We use cookies <button>Accept all</button></div></body></html>",
+        "Bread\n\nMix flour and water.\n\nWait for one hour, then bake.\n\nFlour\n\n500 g",
+    ),
+]
+
+
 def test_html_held_out():
     field = html_extract.fitted(400, 4)
     right = total = 0
@@ -452,7 +480,7 @@ def test_html_blocks(spark):
     pages = spark.createDataFrame([(1, "u", None, "z"), (2, None, "", "z"), (None, "u", "<div>", "z"), (3, "u", page, "z"), (3, "u", page, "z")], "page_id long, url string, html string, text string")
     got = html_extract.extract(pages, html_extract.fitted(200, 3)).collect()
     assert len(got) == 5 and all(r.n_chars == len(r.text) for r in got) and got[0].text == ""
-    assert {r.text for r in got if r.page_id == 3} == {"A &lt; B\none two three\nfour five"} or all("one two three" in r.text for r in got if r.page_id == 3)
+    assert {r.text for r in got if r.page_id == 3} == {"A &lt; B\n\none two three\n\nfour five"}
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
@@ -460,8 +488,30 @@ def test_html_pages(spark):
     got = QUERIES["op9_html_extraction"](spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect()
     assert len(got) == 250
     for r in got:
-        whole = " ".join(re.sub(r"<[^>]+>", " ", re.search(r"<article>(.*?)</article>", r.html, re.S)[1]).split())
-        assert re.sub(r"\s", "", r.text) == re.sub(r"\s", "", __import__("html").unescape(whole))
+        whole = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = re.split(r"</?(?:p|h\d|li|ul|ol|div|blockquote|pre|table|tr|td|section|figure|figcaption)\b[^>]*>", whole)
+        blocks = [" ".join(unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br\s*/?>", " ", b))).split()) for b in blocks]
+        assert r.text == "\n\n".join(b for b in blocks if b)
+        assert r.n_chars == len(r.text)
+
+
+def test_html_unclosed():
+    """Elements without an end hide no more than their own words; formulas stay in their sentence; quotes count after = only."""
+    texts = lambda page: [b.text for b in html_extract.leaf_blocks(page)]
+    for tag in ("button", "option", "object", "svg", "canvas", "iframe", "noscript", "template"):
+        assert texts(f"<{tag}>go<article><p>one</p><p>two</p></article><p>x <{tag}>hidden</{tag}> y") == ["one", "two", "x y"]
+    assert texts("<p>a<script>if (x < 1) '<p>'") == ["a"]
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> be") == ["Let x=1 be"]
+    assert texts("<p title=it's class=x>one</p><p title='a>b' id=\"c>d\">two</p>") == ["one", "two"]
+    assert texts("<p>five <svg><svg></svg><text>no</text></svg>six<style>p{}</style>ty") == ["five sixty"]
+    assert texts("<a href=" + "x='" * 50_000) == ["<a href=" + "x='" * 50_000]
+
+
+def test_html_foreign_pages():
+    """Pages written by hand in layouts that the training pages don't have."""
+    field = html_extract.fitted()
+    for page, want in FOREIGN:
+        assert html_extract.article(page, field) == want
 
 
 def test_language_held_out(spark):
