@@ -11,6 +11,7 @@ Beside it stands a base: add-a-half word unigrams from the same counts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,18 +29,25 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words that are broadcast at most.
 COMMON = 1 << 17
 ROUNDS = 2
-#: Pieces of more characters are left out.
-LONGEST = 16
+#: Words of more characters are cut one by one, in stretches of ``STRETCH`` characters.
+LONG = 48
+STRETCH = 1 << 16
+#: Distinct words whose counts a task holds before it hands them on.
+HELD = 200_000
 #: Words whose lattices are in memory at once.
 GROUP = 20_000
 
 
 @dataclass
 class Pieces:
-    """Sorted piece hashes with natural log probabilities; the last log probability is an unknown byte's, the one before the end's."""
+    """Sorted piece hashes with natural log probabilities; the last log probability is an unknown byte's, the one before the end's.
+
+    ``longest`` is the number of characters of the longest piece.
+    """
 
     keys: np.ndarray
     logs: np.ndarray
+    longest: int
 
 
 def vocabulary(path: str = VOCABULARY) -> Pieces:
@@ -51,7 +59,7 @@ def vocabulary(path: str = VOCABULARY) -> Pieces:
     names, values = [], []
     for i in range(model.get_piece_size()):
         name = model.id_to_piece(i)
-        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)) and len(name) <= LONGEST and "▁" not in name[1:]:
+        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)) and "▁" not in name[1:]:
             names.append(name)
             values.append(model.get_score(i))
     score = np.array(values, dtype=float)
@@ -66,7 +74,7 @@ def vocabulary(path: str = VOCABULARY) -> Pieces:
         keys[i] = h
     order = np.argsort(keys)
     logs = np.append(logs[order], [np.log(1e-4), np.log(1e-4)])
-    return Pieces(keys[order], logs - np.logaddexp.reduce(logs))
+    return Pieces(keys[order], logs - np.logaddexp.reduce(logs), max(map(len, names)))
 
 
 def _step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -85,7 +93,7 @@ def _lattice(points: np.ndarray, pieces: Pieces) -> Iterator[tuple[int, int, np.
     spans: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {e: [] for e in range(1, length + 1)}
     for start in range(length):
         h = np.zeros(n, dtype=np.uint64)
-        for end in range(start + 1, min(length, start + LONGEST) + 1):
+        for end in range(start + 1, min(length, start + pieces.longest) + 1):
             h = _step(h, points[:, end - 1])
             at = np.minimum(np.searchsorted(keys, h), known - 1)
             hit = keys[at] == h
@@ -124,13 +132,102 @@ def log_probabilities(points: np.ndarray, pieces: Pieces, weights: np.ndarray |
     return forward[length], counts
 
 
-def _words(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _hits(points: np.ndarray, first: int, last: int, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, piece index, log probability) of the spans of one word that end after ``first`` and not after ``last``, ends in order."""
+    low = max(0, first - pieces.longest)
+    part = points[low:last]
+    starts, ends, found, logs = [], [], [], []
+    h = np.zeros(len(part), np.uint64)
+    for length in range(1, min(pieces.longest, len(part)) + 1):
+        h = _step(h[: len(part) - length + 1], part[length - 1 :])
+        at = np.minimum(np.searchsorted(pieces.keys, h), len(pieces.keys) - 1)
+        hit = pieces.keys[at] == h
+        value = pieces.logs[at]
+        if length == 1:  # a character that is no piece is spelled in unknown bytes
+            size = 1 + (part > 0x7F) + (part > 0x7FF) + (part > 0xFFFF)
+            value = np.where(hit, value, (pieces.logs[-1] - np.log(256)) * size)
+            at = np.where(hit, at, len(pieces.keys) + 1)
+            hit[:] = True
+        k = np.flatnonzero(hit)
+        k = k[low + k + length > first]
+        starts.append(low + k)
+        ends.append(low + k + length)
+        found.append(at[k])
+        logs.append(value[k])
+    start, end, index, log = (np.concatenate(x) for x in (starts, ends, found, logs))
+    order = np.lexsort((start, end))
+    return start[order], end[order], index[order], log[order]
+
+
+def _log_sum(values: list[float]) -> float:
+    top = max(values)
+    return top + math.log(sum(math.exp(v - top) for v in values))
+
+
+def _forward(hits: tuple, first: int, last: int, carried: list[float], longest: int) -> list[float]:
+    """Forward values of the places first - longest (less at the word's begin) to last; ``carried`` are those up to first."""
+    out, low, start, logs = list(carried), first + 1 - len(carried), hits[0].tolist(), hits[3].tolist()
+    cuts = np.searchsorted(hits[1], np.arange(first + 1, last + 2)).tolist()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        out.append(_log_sum([out[start[k] - low] + logs[k] for k in range(a, b)]))
+    return out
+
+
+def long_word(points: np.ndarray, pieces: Pieces, weight: float | None = None) -> tuple[float, np.ndarray | None]:
+    """Natural log of the marginal probability of one word; with a weight, also the expected counts of the pieces.
+
+    Stretch by stretch; what is kept of earlier stretches is the forward values of the last places, from which they are recurred again on
+    the way back.
+    """
+    length, longest = len(points), pieces.longest
+    bounds = [*range(0, length, STRETCH), length]
+    kept = [[0.0]]
+    for first, last in zip(bounds, bounds[1:], strict=False):
+        kept.append(_forward(_hits(points, first, last, pieces), first, last, kept[-1], longest)[-longest:])
+    total = kept[-1][-1]
+    if weight is None:
+        return total, None
+    counts = np.zeros(len(pieces.logs))
+    after = {length: 0.0}  # backward values of the places that earlier stretches reach
+    for first, last, carried in reversed(list(zip(bounds, bounds[1:], kept, strict=False))):
+        hits = _hits(points, first, last, pieces)
+        fore = np.array(_forward(hits, first, last, carried, longest))
+        low = first + 1 - len(carried)
+        start, end, index, logs = hits
+        back = np.full(last - low + 1, -np.inf)
+        for place, value in after.items():
+            back[place - low] = value
+        rows = list(zip(start.tolist(), end.tolist(), logs.tolist(), strict=True))
+        for s, e, log in reversed(rows):
+            x, y = back[s - low], log + back[e - low]
+            back[s - low] = y if x == -np.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
+        counts += np.bincount(index, np.exp(fore[start - low] + logs + back[end - low] - total) * weight, minlength=len(counts))
+        after = {p: float(back[p - low]) for p in range(low, first + 1)}
+    return total, counts
+
+
+def marginals(batch: pa.RecordBatch, pieces: Pieces, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log probability of each row's word, and the expected counts of all pieces (0 without weights)."""
+    out, counts = np.zeros(batch.num_rows), np.zeros(len(pieces.logs))
+    for rows, points in _words(batch, pieces.longest):
+        if points.shape[1] > LONG:
+            found = [long_word(p, pieces, None if weights is None else weights[r]) for r, p in zip(rows, points, strict=True)]
+            out[rows] = [x for x, _ in found]
+            more = sum((c for _, c in found if c is not None), np.zeros(len(counts)))
+        else:
+            out[rows], more = log_probabilities(points, pieces, None if weights is None else weights[rows])
+        if weights is not None:
+            counts += more
+    return out, counts
+
+
+def _words(batch: pa.RecordBatch, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, code points with the word mark in front) of groups of words of one length."""
     texts = batch.column("word").to_pylist()
     lengths = np.array([len(t) for t in texts])
     for length in np.unique(lengths):
         rows = np.flatnonzero(lengths == length)
-        step = max(1, min(GROUP, 4_000_000 // (length + 1) // LONGEST))
+        step = max(1, min(GROUP, 4_000_000 // (length + 1) // longest))
         for k in range(0, len(rows), step):
             part = rows[k : k + step]
             flat = np.frombuffer("".join(texts[i] for i in part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(part), -1)
@@ -138,24 +235,42 @@ def _words(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def word_counts(docs: DataFrame, train: Column) -> DataFrame:
-    """h, word, c, n: each distinct word with its count in training rows and in all."""
+    """h, word, c, n: each distinct word with its count in training rows and in all.
+
+    A task sums up ``HELD`` distinct words before it hands them on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        held, c, n, texts = none, none, none, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(held), 50_000):
+                s = slice(k, k + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(held[s]), pa.array([t.decode("utf-8", "replace") for t in texts[s]], pa.string()), pa.array(c[s]), pa.array(n[s])], ["h", "word", "c", "n"])
+
         for batch in batches:
             data, at = W.text_bytes(batch.column("text"))
             teaches = batch.column("train").to_numpy(zero_copy_only=False)
-            for first, end, part, offsets in W.chunks(data, at, 16 * W.CHUNK):
+            for first, end, part, offsets in W.chunks(data, at):
                 low = W.LOWER[part]
                 start, stop, row = W.word_spans(low, offsets)
                 if not len(start):
                     continue
-                h, place, inverse = np.unique(W.span_hashes(low, start, stop), return_index=True, return_inverse=True)
-                c = np.bincount(inverse, teaches[first:end][row], minlength=len(h)).astype(np.int64)
-                raw = low.tobytes()
-                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[place].tolist(), stop[place].tolist(), strict=True)]
-                for k in range(0, len(h), 50_000):
-                    s = slice(k, k + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[s].view(np.int64)), pa.array(texts[s], pa.string()), pa.array(c[s]), pa.array(np.bincount(inverse)[s])], ["h", "word", "c", "n"])
+                h, place, inverse = np.unique(W.span_hashes(low, start, stop).view(np.int64), return_index=True, return_inverse=True)
+                taught, all_ = np.bincount(inverse, teaches[first:end][row], minlength=len(h)).astype(np.int64), np.bincount(inverse)
+                order = np.argsort(held)
+                at_ = order[np.minimum(np.searchsorted(held, h, sorter=order), len(held) - 1)] if len(held) else np.zeros(len(h), np.int64)
+                known = held[at_] == h if len(held) else np.zeros(len(h), bool)
+                c[at_[known]] += taught[known]
+                n[at_[known]] += all_[known]
+                new = ~known
+                held, c, n = np.append(held, h[new]), np.append(c, taught[new]), np.append(n, all_[new])
+                texts += [low[a:b].tobytes() for a, b in zip(start[place[new]].tolist(), stop[place[new]].tolist(), strict=True)]
+                if len(held) >= HELD:
+                    yield from out()
+                    held, c, n, texts = none, none.copy(), none.copy(), []
+        yield from out()
 
     rows = docs.select("text", train.alias("train")).mapInArrow(run, "h long, word string, c long, n long")
     return rows.groupBy("h", "word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
@@ -173,9 +288,7 @@ def learn(counts: DataFrame, texts: int, pieces: Pieces, rounds: int = ROUNDS) -
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total = np.zeros(size)
             for batch in batches:
-                c = batch.column("c").to_numpy().astype(float)
-                for rows, points in _words(batch):
-                    total += log_probabilities(points, shared.value, c[rows])[1]
+                total += marginals(batch, shared.value, batch.column("c").to_numpy().astype(float))[1]
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["piece", "n"])
 
@@ -183,11 +296,11 @@ def learn(counts: DataFrame, texts: int, pieces: Pieces, rounds: int = ROUNDS) -
         total = np.full(size, 0.01)
         total[found["piece"].to_numpy(dtype=np.int64)] += found["n"].to_numpy()
         total[-2] = texts + 0.5
-        pieces = Pieces(pieces.keys, np.log(total / total.sum()))
+        pieces = Pieces(pieces.keys, np.log(total / total.sum()), pieces.longest)
     return pieces
 
 
-def score(docs: DataFrame, held_out: int = 1, parts: int = 5, path: str = VOCABULARY) -> DataFrame:
+def score(docs: DataFrame, held_out: int = 1, parts: int = 5, path: str = VOCABULARY, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row.
 
     Null text counts as empty: its only token is the end. Without training rows the vocabulary's own scores are used.
@@ -197,16 +310,14 @@ def score(docs: DataFrame, held_out: int = 1, parts: int = 5, path: str = VOCABU
     texts = docs.where(~apart).count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     total, distinct = sums[0] + texts, sums[1] + (texts > 0)
-    pieces = learn(counts, texts, vocabulary(path)) if texts else vocabulary(path)
+    pieces = learn(counts, texts, vocabulary(path), rounds) if texts else vocabulary(path)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(pieces)
 
     def recur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for rows, points in _words(batch):
-                out[rows] = log_probabilities(points, shared.value)[0]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), batch.column("n"), pa.array(out / np.log(10))], ["h", "c", "n", "lp"])
+            out = marginals(batch, shared.value)[0] / np.log(10)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), batch.column("n"), pa.array(out)], ["h", "c", "n", "lp"])
 
     scored = written(counts.select("h", "word", "c", "n").mapInArrow(recur, "h long, c long, n long, lp double"), "scored")
     common = scored.orderBy(F.desc("n"), "h").limit(COMMON).toPandas().sort_values("h")

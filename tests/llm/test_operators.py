@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from html import unescape
@@ -318,6 +319,42 @@ def test_lattice_brute():
         assert counts.sum() > 0
 
 
+def test_lattice_long_words(monkeypatch):
+    """Stretches give what the whole lattice gives, in probability and in expected counts; a word of a megabyte takes seconds."""
+    pieces = lattice.vocabulary()
+    r = random.Random(3)
+    for word in ("internationalisation" * 9, "".join(r.choice("abcdeéß日 ".strip()) for _ in range(300)), "x" * 130):
+        points = np.array([[0x2581, *map(ord, word)]], dtype=np.uint64)
+        want, counts = lattice.log_probabilities(points, pieces, np.array([2.5]))
+        for stretch in (7, 64, 1 << 16):
+            monkeypatch.setattr(lattice, "STRETCH", stretch)
+            got, found = lattice.long_word(points[0], pieces, 2.5)
+            assert math.isclose(got, want[0], rel_tol=1e-9) and math.isclose(lattice.long_word(points[0], pieces)[0], got, rel_tol=1e-12)
+            assert np.allclose(found, counts, atol=1e-6)
+    points = np.array([0x2581, *map(ord, "".join(r.choice("ACDEGT") for _ in range(1 << 20)))], dtype=np.uint64)
+    started = time.time()
+    assert lattice.long_word(points, pieces)[0] < 0
+    assert time.time() - started < 60
+
+
+def test_lattice_held_out(spark):
+    """Every round of expectation maximisation makes held-out texts likelier."""
+    set_worker_path(spark)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    totals = [lattice.score(docs, rounds=k).where("held_out").agg(F.sum("score")).first()[0] for k in (0, 1, 2)]
+    assert totals[0] < totals[1] < totals[2]
+
+
+def test_word_counts_hand_over(spark, monkeypatch):
+    """Counts don't depend on how many words a task holds, nor on the size of a word."""
+    set_worker_path(spark)
+    docs = spark.createDataFrame([(i, f"a b b Word{i % 7} {'z' * (3_000_000 if i == 5 else 3)}") for i in range(40)], "doc_id long, text string")
+    whole = {(r.word, r.c, r.n) for r in lattice.word_counts(docs, F.col("doc_id") % 2 == 0).collect()}
+    monkeypatch.setattr(lattice, "HELD", 3)
+    assert {(r.word, r.c, r.n) for r in lattice.word_counts(docs, F.col("doc_id") % 2 == 0).collect()} == whole
+    assert ("b", 40, 80) in whole and ("z" * 3_000_000, 0, 1) in whole and ("zzz", 20, 39) in whole
+
+
 def test_lattice_base(spark):
     got = QUERIES["op6_lm_scoring"](spark, SF).collect()
     texts = {r.doc_id: lowered(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
