@@ -8,13 +8,15 @@ signature. No similar pair is lost; an exact comparison of the sets follows, for
 
 For all but the smallest sets there are twice as many cells as k + 1 (n2 = 1), so a similar pair agrees on m = n1 - k cells or more.
 Each set then leaves out its m - 1 least telling cells, in an order that depends on the content alone: the most telling cell that a
-pair shares has m - 1 shared ones behind it, so both sides keep it. Least telling are cells without a rare shingle, which would
-gather unrelated documents that share a passage; shingles found four times or more in one of 16 documents aren't rare. Which ones
-count as rare changes the cost, never the result.
-
-Documents with equal sets are one class from the start. A signature's smallest class is its head; every class is first compared with the head that it
-meets most often (a star), and the matches are merged into components; only classes of different components still meet, a block of 512 per signature and round, until no
-signature holds two components that have not been compared. So a group of near copies costs a row per member, not a row per pair.
+pair shares has m - 1 shared ones behind it, so both sides keep it. Least telling are empty cells, then those without a rare shingle, which would
+gather unrelated documents that share a passage; shingles found in three or more of every eighth class of equal sets aren't rare. Which
+ones count as rare changes the cost, never the result.
+
+Documents with equal sets are one class from the start. A signature's smallest class is its head; every class is first compared with the
+head that it meets most often (a star), and the matches are merged into components. In the next rounds one class of each component in a
+signature meets one of its largest component, another one each time, until a round finds nothing: so a group of near copies costs a
+row per member, not a row per pair. What is left are signatures of components that may or may not be linked: there all classes of different components meet, a block
+of 512 per signature and round, but only pairs that parity marks leave open become rows.
 """
 
 from __future__ import annotations
@@ -24,19 +26,24 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselens.functions.scratch import release, removed, written
+from caselens.functions.scratch import removed, written
 from caselens.llm import words as W
+from caselens.llm.bits import bit_filter, passes
 
 #: Classes seen by a task whose signatures are not sent again.
 SEEN = 200_000
-#: Common shingles that are broadcast at most (8 bytes each).
-COMMON = 1 << 15
+#: Common shingles that are broadcast at most (8 bytes each); they are counted in one class in ``SHARE`` and found in ``OFTEN`` of these at least.
+COMMON = 1 << 20
+SHARE = 8
+OFTEN = 3
 #: Bits of the filter for candidate documents at most (16 MB).
 FILTER_BITS = 1 << 27
-#: Classes of one signature that meet all others of it in one round.
+#: Rounds in which one class of each component in a signature meets one of the largest.
+TURNS = 3
+#: Classes of one signature that meet all others of it in one round, after that.
 BLOCK = 512
 #: 64-bit words of a set's parity marks, and their columns.
 MARKS = 8
@@ -75,7 +82,7 @@ def set_signatures(places: np.ndarray, codes: np.ndarray, rare: np.ndarray, tabl
         tag = np.uint64((band + 1) * 0x632BE59BD9B4E019 & W.MASK)
         coded = W.mix(content + np.arange(cells, dtype=np.uint64) * np.uint64(W.BASE) + tag)
         if n2 == 1:
-            telling = np.bincount(cell[rare], minlength=cells)
+            telling = (np.bincount(cell[rare], minlength=cells) << 32) + np.bincount(cell, minlength=cells)
             found.append(coded[np.lexsort((coded, telling))][cells - k - 1 :])
         else:
             coded = coded.reshape(n1, n2)
@@ -109,23 +116,34 @@ def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls long")
 
 
-def common_shingles(docs: DataFrame, width: int = 5) -> np.ndarray:
-    """Sorted hashes of the shingles seen most often in one of 16 documents, four times at least; ``COMMON`` of them at most."""
+def common_shingles(docs: DataFrame, firsts: DataFrame, width: int = 5) -> np.ndarray:
+    """Sorted hashes of the shingles seen most often in one of ``SHARE`` classes, ``OFTEN`` times at least; ``COMMON`` of them at most.
+
+    Copies of one set would count as many documents: a bit filter of the classes' first documents leaves them out, but for a few.
+    """
+    some = firsts.where(F.pmod(F.col("cls"), F.lit(SHARE)) == 0)
+    first = docs.sparkSession.sparkContext.broadcast(bit_filter(some.select(F.xxhash64("class_id").alias("key")), "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, values, _ in _sets(batch, width):
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], ["item"])
+            batch = batch.filter(pa.array(passes(first.value, batch.column("key").to_numpy())))
+            for _, values, at in _sets(batch, width):
+                keep = _identity(values, at).view(np.int64) % SHARE == 0
+                yield pa.RecordBatch.from_arrays([pa.array(values[np.repeat(keep, np.diff(at))].view(np.int64))], ["item"])
+
+    often = docs.select("text", F.xxhash64("doc_id").alias("key")).mapInArrow(run, "item long").groupBy("item").count().where(F.col("count") >= OFTEN)
+    rows = often.orderBy(F.desc("count"), "item").limit(COMMON).select("item").toArrow()
+    return np.sort(rows["item"].to_numpy().view(np.uint64))
 
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).select("doc_id", "text")
-    often = part.mapInArrow(run, "item long").groupBy("item").count().where("count >= 4")
-    rows = often.orderBy(F.desc("count"), "item").limit(COMMON).select("item").toPandas()
-    return np.sort(rows["item"].to_numpy(dtype=np.int64).view(np.uint64))
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is in a sorted array."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
 
-def signatures(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+
+def signatures(docs: DataFrame, firsts: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """sig, cls, size: the signatures of every distinct set. A task sends those of a class once."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, firsts, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -136,7 +154,7 @@ def signatures(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
                 if len(sizes) and table[-1][0] < sizes.max() * 2:
                     table = bands(int(sizes.max()) * 2, percent)
                 places, codes = W.mix(values ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32), W.mix(values + np.uint64(0xE7037ED1A0B428DB))
-                rare = ~np.isin(values, common)
+                rare = ~among(values, common)
                 sigs, who = [], []
                 for r in np.flatnonzero(sizes).tolist():
                     if (kind := int(kinds[r])) not in seen:
@@ -206,15 +224,20 @@ def parity_marks(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(sets, places), axis=1).view(np.int64).reshape(sets, MARKS)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar enough.
-
-    Parity marks bound the symmetric difference from below: pairs that they rule out never fetch their sets.
-    """
-    marks = lambda k: sets.select(F.col("cls").alias(k), F.col("n").alias(f"n_{k}"), *[F.col(m).alias(f"{m}_{k}") for m in MARK_COLUMNS])
+def _near(percent: int) -> Column:
+    """Whether parity marks leave it open that sets a and b are similar: they bound the symmetric difference from below."""
     apart = sum((F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in MARK_COLUMNS), F.lit(0))
-    near = pairs.join(marks("a"), "a").join(marks("b"), "b").where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-    both = near.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("items_b")), "b")
+    return (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+
+
+def _marked(rows: DataFrame, sets: DataFrame, key: str, kind: str) -> DataFrame:
+    """Rows with the size and the parity marks of the class in column ``key``, as columns ending in ``kind``."""
+    return rows.join(sets.select(F.col("cls").alias(key), F.col("n").alias(f"n_{kind}"), *[F.col(m).alias(f"{m}_{kind}") for m in MARK_COLUMNS]), key)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose sets are similar enough; pairs that parity marks rule out should have gone before."""
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("items_b")), "b")
     common = F.size(F.array_intersect("items_a", "items_b"))
     return both.where(100 * common >= percent * (F.size("items_a") + F.size("items_b") - common)).select("a", "b")
 
@@ -232,8 +255,10 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
         step = step.join(jump, step["label"] == jump["at"], "left").select("node", F.least("label", "further").alias("label"), "was")
         step = written(step, "labels")
+        removed(labels)
         labels = step.select("node", "label")
         if step.where("label <> was").isEmpty():
+            removed(both)
             return labels
 
 
@@ -242,37 +267,55 @@ def similar_classes(docs: DataFrame, firsts: DataFrame, width: int = 5, percent:
 
     ``firsts`` has a document of each class (cls, class_id).
     """
-    spark = docs.sparkSession
-    shared = written(shared_signatures(signatures(docs, width, percent)), "shared")
-    release(spark)
+    shared = written(shared_signatures(signatures(docs, firsts, width, percent)), "shared")
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     met = shared.where("rank > 0").select(F.explode(F.array("cls", "head")).alias("cls")).distinct()
     wanted = written(firsts.join(met, "cls").select("cls", F.col("class_id").alias("doc_id")), "wanted")
     sets = written(class_sets(docs, wanted, width), "sets")
-    release(spark)
+    removed(wanted)
+
+    def found(pairs: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """(pairs with those tried before, the similar ones of the new)."""
+        fresh = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        fresh = written(_marked(_marked(fresh, sets, "a", "a"), sets, "b", "b").where(_near(percent)).select("a", "b"), "tried")
+        return fresh if tried is None else tried.union(fresh), written(_verified(fresh, sets, percent), "edges")
+
     stars = shared.where((F.col("rank") > 0) & fits(F.col("size"), F.col("head_size"))).groupBy(F.col("cls").alias("b"), "head").count()
-    tried = written(stars.groupBy("b").agg(F.max_by("head", F.struct("count", "head")).alias("a")).select("a", "b"), "tried")
-    edges = written(_verified(tried, sets, percent), "edges")
-    release(spark)
-    labels, low = components(edges), 0
+    tried, edges = found(stars.groupBy("b").agg(F.max_by("head", F.struct("count", "head")).alias("a")).select("a", "b"), None)
+    labels, low, turn = components(edges), 0, 0
     while True:
         named = shared.join(labels, shared["cls"] == labels["node"], "left").select("sig", "cls", "size", "rank", F.coalesce("label", "cls").alias("label"))
         open_ = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("rank").alias("top")).where(f"x <> y and top > {low}")
         open_ = written(open_.select("sig"), "open")
         if open_.isEmpty():
-            removed(shared)
-            removed(sets)
+            for table in (shared, sets, open_):
+                removed(table)
             return labels.select(F.col("node").alias("cls"), "label")
         named = named.join(open_, "sig")
-        block = named.where(F.col("rank").between(low, low + BLOCK - 1)).select("sig", F.col("cls").alias("c1"), F.col("size").alias("s1"), F.col("rank").alias("r1"), F.col("label").alias("l1"))
-        pairs = named.join(block, "sig").where((F.col("rank") > F.col("r1")) & (F.col("label") != F.col("l1")) & fits(F.col("size"), F.col("s1")))
-        pairs = written(pairs.select(F.col("c1").alias("a"), F.col("cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "tried")
-        more = written(_verified(pairs, sets, percent), "edges")
-        release(spark)
-        tried = tried.union(pairs)
-        low += BLOCK
-        if not more.isEmpty():
+        if turn < TURNS:
+            # one class of each component in a signature against one of its largest component: a row per component
+            drawn = F.struct(F.xxhash64("cls", F.lit(turn)), "cls", "size")
+            ones = named.groupBy("sig", "label").agg(F.min(drawn).alias("one"), F.count(F.lit(1)).alias("n"))
+            hubs = ones.groupBy("sig").agg(F.max(F.struct("n", "label", "one")).alias("hub"))
+            pairs = ones.join(hubs, "sig").where((F.col("label") != F.col("hub.label")) & fits(F.col("one.size"), F.col("hub.one.size")))
+            pairs = pairs.select(F.least("one.cls", "hub.one.cls").alias("a"), F.greatest("one.cls", "hub.one.cls").alias("b")).distinct()
+            tried, more = found(pairs, tried)
+            turn += 1
+        else:
+            rows = written(_marked(named, sets, "cls", "b").withColumnRenamed("cls", "b"), "members")
+            block = rows.where(F.col("rank").between(low, low + BLOCK - 1))
+            block = block.select("sig", F.col("b").alias("a"), F.col("size").alias("s1"), F.col("rank").alias("r1"), F.col("label").alias("l1"), *[F.col(f"{c}_b").alias(f"{c}_a") for c in ("n", *MARK_COLUMNS)])
+            pairs = rows.join(block, "sig").where((F.col("rank") > F.col("r1")) & (F.col("label") != F.col("l1")) & fits(F.col("size"), F.col("s1")) & _near(percent))
+            pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "tried")
+            tried, more = tried.union(pairs), written(_verified(pairs, sets, percent), "edges")
+            removed(rows)
+            low += BLOCK
+        removed(open_)
+        if more.isEmpty():
+            turn = TURNS
+        else:
             edges = edges.union(more)
+            removed(labels)
             labels = components(edges)
 
 
