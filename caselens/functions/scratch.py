@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -27,14 +26,23 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark deletes the shuffle files of an execution at its end, not at some later garbage collection of the driver.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a result that several later steps read, and go on from the files.
 
-    The table survives the loss of executors and keeps the plan of the later steps short.
+    The table survives the loss of executors and keeps the plan of the later steps short. Shuffle files of the write are deleted with it.
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,10 +52,3 @@ def removed(df: DataFrame) -> None:
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(file)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Have the driver forget finished jobs now: shuffle files that nothing refers to leave the executors' disks at once, not at the
-    driver's next full collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
