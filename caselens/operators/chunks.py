@@ -144,39 +144,52 @@ def offset_pages(offsets: DataFrame, ranges: DataFrame, doc_keys: list[str]) ->
     )
 
 
-def assemble_documents(pages: DataFrame, limit: int, hint: str | None = None, case_key: str = "case_id") -> DataFrame:
-    """Pages of each document.
+def assemble_documents(pages: DataFrame, limit: int | None = None, hint: str | None = None, case_key: str = "case_id", block: int = 4096) -> DataFrame:
+    """Pages of each document, with start_page, has_hint and the document's stop_reason.
 
     ``pages`` carries is_start, stop_before (a page that may not be added), stop_after (a page that closes
     the document) and, with ``hint``, a page total that replaces the limit and switches both stop rules off.
-    Each page looks back to the starts that could reach it: an equi join on (case, page), no per-case window.
+    A document goes on over adjoining pages to the next start, to a stop rule or, if one is set, to the limit: it may
+    have any number of pages.
+
+    A page belongs to the last start before it, if no gap and no stop rule lies between. These last places are running
+    maxima, taken inside blocks of page numbers and carried from block to block: only block summaries go through
+    the window of a case. Pages without a number belong to nothing.
     """
-    reach = limit if hint is None else max(limit, 12)
-    length = F.lit(limit) if hint is None else F.coalesce(F.col(hint), F.lit(limit))
-    starts = pages.where("is_start").select(
-        case_key, F.col("page_number").alias("start_page"), length.alias("_limit"),
-        (F.lit(False) if hint is None else F.col(hint).isNotNull()).alias("has_hint"))
-    slots = starts.withColumn("page_number", F.explode(F.sequence("start_page", F.col("start_page") + reach)))
-    joined = slots.where(F.col("page_number") < F.col("start_page") + F.col("_limit") + 1).join(
-        pages, [case_key, "page_number"], "left")
-    step = F.col("page_number") - F.col("start_page")
-    missing = F.col("is_start").isNull()
-    other = (step > 0) & F.coalesce(F.col("is_start"), F.lit(False))
-    blocked = (step > 0) & ~F.col("has_hint") & F.coalesce(F.col("stop_before"), F.lit(False))
-    over = step >= F.col("_limit")
-    doc = Window.partitionBy(case_key, "start_page").orderBy("page_number")
-    upto = doc.rowsBetween(Window.unboundedPreceding, 0)
-    earlier = doc.rowsBetween(Window.unboundedPreceding, -1)
-    closes = ~F.col("has_hint") & F.coalesce(F.col("stop_after"), F.lit(False))
-    stopped = F.bool_or(missing | other | blocked | over).over(upto)
-    closed = F.coalesce(F.bool_or(closes).over(earlier), F.lit(False))
-    reason = (F.when(closed, "fechado").when(over, "limite").when(other, "inicio")
-              .when(missing, "ausente").when(blocked, "outro_documento"))
-    return (
-        joined.withColumn("_out", stopped | closed)
-        .withColumn("stop_reason", F.first(F.when(F.col("_out"), reason), ignorenulls=True).over(
-            Window.partitionBy(case_key, "start_page").orderBy("page_number")
-            .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        .where(~F.col("_out"))
-        .drop("_out", "_limit")
-    )
+    number, rule = F.col("page_number").cast("bigint"), F.col(hint) if hint else F.lit(None).cast("int")
+    inside = Window.partitionBy(case_key, "_b").orderBy("page_number")
+    upto, earlier = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+    at = lambda flag: F.when(F.coalesce(F.col(flag), F.lit(False)), number)
+    begin = F.when(F.coalesce(F.col("is_start"), F.lit(False)), F.struct(number.alias("page"), rule.cast("int").alias("hint")))
+    rows = pages.where("page_number is not null").withColumn("_b", F.floor(F.col("page_number") / block)).withColumns({
+        "_before": F.lag(number).over(inside), "_start": F.max(begin).over(upto), "_blocked": F.max(at("stop_before")).over(upto),
+        "_closed": F.max(at("stop_after")).over(earlier)})
+    rows = rows.withColumn("_gap", F.max(F.when(number - F.col("_before") > 1, number)).over(upto))
+    sums = rows.groupBy(case_key, "_b").agg(
+        F.min(number).alias("first"), F.max(number).alias("last"), F.max("_start").alias("start"), F.max("_blocked").alias("blocked"),
+        F.max(at("stop_after")).alias("closed"), F.max("_gap").alias("gap"))
+    order = Window.partitionBy(case_key).orderBy("_b")
+    passed = order.rowsBetween(Window.unboundedPreceding, -1)
+    torn = F.when(F.coalesce(F.lag("last").over(order) != F.col("first") - 1, F.lit(True)), F.col("first"))
+    sums = sums.withColumn("torn", torn).withColumn("gap", F.coalesce("gap", "torn"))
+    carried = sums.select(case_key, "_b", "torn", *[F.max(c).over(passed).alias(f"_c_{c}") for c in ("start", "blocked", "closed", "gap")])
+    rows = rows.join(carried, [case_key, "_b"])
+    start = F.coalesce("_start", "_c_start")
+    none = F.lit(-(2**62)).cast("bigint")
+    last = lambda own, *past: F.coalesce(own, *past, none)
+    length = F.coalesce(F.col("_at.hint"), F.lit(limit))
+    placed = rows.withColumn("_at", start).where("_at is not null").withColumns({
+        "start_page": F.col("_at.page"), "has_hint": F.col("_at.hint").isNotNull()})
+    free = (last("_blocked", "_c_blocked") <= F.col("start_page")) & (last("_closed", "_c_closed") < F.col("start_page"))
+    whole = last("_gap", "torn", "_c_gap") <= F.col("start_page")
+    member = whole & (F.col("has_hint") | free) & F.coalesce(number - F.col("start_page") < length, F.lit(True))
+    found = placed.where(member).withColumn("_length", length).drop(
+        "_b", "_before", "_start", "_blocked", "_closed", "_gap", "torn", "_at", *[f"_c_{c}" for c in ("start", "blocked", "closed", "gap")])
+    # What ended a document stands on its last page or on the one after it.
+    ends = found.groupBy(case_key, "start_page").agg(F.max(F.struct(number.alias("page"), "has_hint", "_length", F.coalesce("stop_after", F.lit(False)).alias("closes"))).alias("_e"))
+    after = pages.select(case_key, number.alias("_next"), F.coalesce("is_start", F.lit(False)).alias("_is_start"))
+    ends = ends.withColumn("_next", F.col("_e.page") + 1).join(after, [case_key, "_next"], "left")
+    reason = (F.when(~F.col("_e.has_hint") & F.col("_e.closes"), "fechado").when(F.col("_next") - F.col("start_page") >= F.col("_e._length"), "limite")
+              .when(F.col("_is_start"), "inicio").when(F.col("_is_start").isNull(), "ausente").otherwise("outro_documento"))
+    ends = ends.select(case_key, "start_page", reason.alias("stop_reason")).dropDuplicates([case_key, "start_page"])
+    return found.drop("_length").join(ends, [case_key, "start_page"])

@@ -176,15 +176,18 @@ def generate_cases(chunks: DataFrame, vocabulary: list[str], limit: int = 50) ->
         F.min(F.struct("page_number", "chunk_index", "id", "expected_terms")).alias("_f"))
     candidates = first.select("case_id", "_f.*", "question", "expected_pages").withColumn(
         "_order", F.col("page_number").cast("bigint") * 100_000 + F.col("chunk_index"))
-    return even_sample(candidates, limit, ["case_id"], "_order").drop("_order")
+    return even_sample(candidates, limit, ["case_id"], "_order", 4096 * 100_000).drop("_order")
 
 
-def even_sample(df: DataFrame, n: int, keys: list[str], order: str) -> DataFrame:
-    """Rows at the rounded positions j*(size-1)/(n-1), halves to even; all rows when there are at most n."""
+def even_sample(df: DataFrame, n: int, keys: list[str], order: str, block: int = 65536) -> DataFrame:
+    """Rows at the rounded positions j*(size-1)/(n-1), halves to even; all rows when there are at most n.
+
+    ``block`` is the range of the order column whose rows of a key are numbered together.
+    """
     if n <= 0:
         return df.limit(0)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    placed = number_rows(df, keys, order, "_i", block=65536 * 100_000).join(sizes, keys)
+    placed = number_rows(df, keys, order, "_i", block).join(sizes, keys)
     at, size = F.col("_i") - 1, F.col("_size")
     if n == 1:
         picked = at == F.floor(size / 2)

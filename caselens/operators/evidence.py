@@ -15,14 +15,9 @@ from caselens.operators.safety import USABLE, injection_reasons_of
 
 # Limits and vocabularies of the checks.
 MIN_QUOTE_CHARS = 8
-MAX_COMPARISONS = 20
 MIN_QUESTION_CHARS = 12
-MAX_SUPPORTS = 3
 MIN_EXCERPT_CHARS = 25
 MIN_EXCERPT_WORDS = 6
-MAX_MODEL_GAPS = 8
-MAX_GAPS = 12
-FAVOURABLE_LIMIT, CONTRARY_LIMIT = 4, 3
 RESULTS = ("observado", "nao_observado", "nao_localizado", "nao_aplicavel")
 UNPROVED = "O resultado proposto nao possuia trecho literal validado no processo."
 NOT_FOUND = "Nao foi localizada informacao suficiente para este requisito."
@@ -93,9 +88,13 @@ def _speech_quote(claims: DataFrame, speech: DataFrame, who: str, quote: str, ou
         F.min(F.when(F.col("_hit").isNotNull(), F.col("page_number"))).alias(f"{out}_page"))
 
 
-def sanitize_comparisons(claims: DataFrame, speech: DataFrame, versions: tuple[str, ...] = ("1.0", "1.0")) -> DataFrame:
-    """``claims``: case_id, a_id, b_id, state, item_no, quote_a, quote_b; only the first 20 per list are read."""
-    listed = top_per_key(claims, ["case_id", "a_id", "b_id", "state"], [F.col("item_no")], MAX_COMPARISONS, "_n").drop("_n")
+def _first(df: DataFrame, keys: list[str], order: list[Column], limit: int | None) -> DataFrame:
+    return df if limit is None else top_per_key(df, keys, order, limit, "_n").drop("_n")
+
+
+def sanitize_comparisons(claims: DataFrame, speech: DataFrame, versions: tuple[str, ...] = ("1.0", "1.0"), limit: int | None = None) -> DataFrame:
+    """``claims``: case_id, a_id, b_id, state, item_no, quote_a, quote_b; with ``limit`` only the first ones of a list."""
+    listed = _first(claims, ["case_id", "a_id", "b_id", "state"], [F.col("item_no")], limit)
     both = _speech_quote(_speech_quote(listed, speech, "a_id", "quote_a", "exact_a"), speech, "b_id", "quote_b", "exact_b")
     valid = F.col("exact_a").isNotNull() & F.col("exact_b").isNotNull()
     named = both.withColumn("comparison_id", pair_id(F.col("case_id"), F.col("a_id"), F.col("b_id"), *versions)).withColumn("valid", valid)
@@ -105,11 +104,11 @@ def sanitize_comparisons(claims: DataFrame, speech: DataFrame, versions: tuple[s
     return kept.unionByName(named.where("not valid"))
 
 
-def sanitize_questions(claims: DataFrame, supports: DataFrame, sources: DataFrame) -> DataFrame:
+def sanitize_questions(claims: DataFrame, supports: DataFrame, sources: DataFrame, limit: int | None = None) -> DataFrame:
     """``claims``: case_id, item_no, question, kind, priority; ``supports``: case_id, item_no, support_no, source_id, quote;
-    ``sources``: case_id, source_id, testimony_id, text."""
-    first = supports.where(F.col("support_no") <= MAX_SUPPORTS).withColumnRenamed("support_no", "_s")
-    met = first.join(sources, ["case_id", "source_id"])
+    ``sources``: case_id, source_id, testimony_id, text. With ``limit`` only the first supports of a question count."""
+    first = supports if limit is None else supports.where(F.col("support_no") <= limit)
+    met = first.withColumnRenamed("support_no", "_s").join(sources, ["case_id", "source_id"])
     q = cleaned_quote(F.col("quote"))
     good = met.where((F.length(q) >= MIN_QUOTE_CHARS) & find_quote(F.col("text"), q).isNotNull())
     counted = good.groupBy("case_id", "item_no").agg(
@@ -252,25 +251,32 @@ def cap_confidence(df: DataFrame) -> DataFrame:
     return df.withColumn("confidence", F.element_at(names, F.least(rank, top).cast("int")))
 
 
-def gaps(reqs: DataFrame, model_gaps: DataFrame) -> DataFrame:
-    """Model gaps first (at most 8), then unlocated requirements, 12 in all; a topic has few requirements."""
-    said = F.slice(F.array_distinct(F.filter(F.transform("gaps", squash), lambda g: g != "")), 1, MAX_MODEL_GAPS)
-    said = F.transform(said, lambda g: F.substring(g, 1, 500))
+def gaps(reqs: DataFrame, model_gaps: DataFrame, model_limit: int | None = None, limit: int | None = None, chars: int | None = None) -> DataFrame:
+    """Model gaps first, then unlocated requirements; a topic has few requirements.
+
+    With ``model_limit`` and ``limit`` only the first ones, of the model's and of all; with ``chars`` each of the model's is cut.
+    """
+    cut = lambda c, n: c if n is None else F.slice(c, 1, n)
+    said = cut(F.array_distinct(F.filter(F.transform("gaps", squash), lambda g: g != "")), model_limit)
+    said = said if chars is None else F.transform(said, lambda g: F.substring(g, 1, chars))
     missing = reqs.where("result = 'nao_localizado'").groupBy("case_id", "topic_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("requirement_no", "label"))),
                     lambda r: F.concat(F.lit("Confirmar no processo: "), r["label"], F.lit("."))).alias("_m"))
     none = F.array().cast("array<string>")
     return model_gaps.join(missing, ["case_id", "topic_id"], "left").withColumn(
-        "gaps", F.slice(F.array_union(said, F.coalesce("_m", none)), 1, MAX_GAPS)).drop("_m")
+        "gaps", cut(F.array_union(said, F.coalesce("_m", none)), limit)).drop("_m")
 
 
-def theses(claims: DataFrame, evidence: DataFrame, catalog: DataFrame, sources: DataFrame, max_theses: int = 12) -> DataFrame:
+def theses(
+    claims: DataFrame, evidence: DataFrame, catalog: DataFrame, sources: DataFrame, limit: int | None = None, favourable: int | None = None, contrary: int | None = None,
+) -> DataFrame:
     """``claims``: case_id, item_no, thesis_id, priority; ``evidence``: case_id, item_no, side, quote_no, source_id, quote;
-    ``catalog``: thesis_id, title; ``sources``: case_id, source_id, page_number, text."""
+    ``catalog``: thesis_id, title; ``sources``: case_id, source_id, page_number, text. With ``limit`` only the first claims of a case, with
+    ``favourable`` and ``contrary`` only the first quotations of a side are read."""
     keys = ["case_id", "item_no"]
-    listed = top_per_key(claims, ["case_id"], [F.col("item_no")], max_theses, "_n").drop("_n").join(catalog, "thesis_id")
-    limit = F.when(F.col("side") == "favoravel", FAVOURABLE_LIMIT).otherwise(CONTRARY_LIMIT)
-    read = evidence.where(F.col("quote_no") <= limit)
+    listed = _first(claims, ["case_id"], [F.col("item_no")], limit).join(catalog, "thesis_id")
+    allowed = F.when(F.col("side") == "favoravel", F.lit(favourable)).otherwise(F.lit(contrary))
+    read = evidence.where(F.coalesce(F.col("quote_no") <= allowed, F.lit(True)))
     checked = check_quotes(read.withColumnRenamed("item_no", "claim_no").withColumnRenamed("quote_no", "item_no"), sources,
                            ["case_id", "claim_no", "side"]).drop("item_no").withColumnRenamed("claim_no", "item_no")
     # A quotation used in favour cannot also count against.
@@ -283,13 +289,13 @@ def theses(claims: DataFrame, evidence: DataFrame, catalog: DataFrame, sources:
     valid = first_per_key(listed.join(per, keys).where("favourable > 0"), ["case_id", "thesis_id"], [F.col("item_no")])
     level = F.when(F.col("contrary") > 0, "controvertido").when(
         (F.col("favourable_pages") >= 2) | (F.col("favourable") >= 2), "amplo").otherwise("inicial")
-    return top_per_key(valid.withColumn("support_level", level), ["case_id"], [F.col("priority"), F.col("title")], max_theses, "position")
+    return top_per_key(valid.withColumn("support_level", level), ["case_id"], [F.col("priority"), F.col("title")], 2**31 - 1, "position")
 
 
-def judgment_sources(decisions: DataFrame, certificates: DataFrame, chars: int = 4500) -> DataFrame:
+def judgment_sources(decisions: DataFrame, certificates: DataFrame, chars: int | None = None) -> DataFrame:
     """``decisions``: case_id, decision_id, source_confidence, disposition, penalties, articles, fine, regime,
     substitution, suspension - each STRUCT or ARRAY<STRUCT> with excerpt and pages; ``certificates``: case_id, certificate_no,
-    excerpt, pages, source_confidence."""
+    excerpt, pages, source_confidence. Whole texts are checked for hostile passages; with ``chars`` they are cut after that."""
     part = "struct<source_id:string,text:string,pages:array<int>,origin:string>"
     d = F.col("decision_id")
 
@@ -312,9 +318,10 @@ def judgment_sources(decisions: DataFrame, certificates: DataFrame, chars: int =
     final = certificates.select(
         "case_id", "source_confidence", F.concat(F.lit("transito-"), F.col("certificate_no").cast("string")).alias("source_id"),
         F.col("excerpt").alias("text"), "pages", F.lit("transito_em_julgado").alias("origin"))
-    kept = listed.unionByName(final).where(present(F.col("text")) & (F.size("pages") > 0)).withColumn("text", F.substring("text", 1, chars))
-    hostile = F.size(injection_reasons_of(F.col("text"))) > 0
-    return kept.withColumn("hostile", hostile).where(F.col("hostile") | F.col("source_confidence").isin(*USABLE))
+    kept = listed.unionByName(final).where(present(F.col("text")) & (F.size("pages") > 0))
+    checked = pinned(kept, "hostile", F.size(injection_reasons_of(F.col("text"))) > 0)
+    checked = checked.where(F.col("hostile") | F.col("source_confidence").isin(*USABLE))
+    return checked if chars is None else checked.withColumn("text", F.substring("text", 1, chars))
 
 
 def _event_supported(kind: Column, text: Column) -> Column:
@@ -350,10 +357,10 @@ def dossier_events(rule_events: DataFrame, claims: DataFrame, sources: DataFrame
         F.col("_first").isNull() | ~later | (F.struct("origin", "item_no") == F.col("_first"))).drop("_first")
 
 
-def dossier_testimonies(claims: DataFrame, excerpts: DataFrame, sources: DataFrame) -> DataFrame:
+def dossier_testimonies(claims: DataFrame, excerpts: DataFrame, sources: DataFrame, limit: int | None = None) -> DataFrame:
     """``claims``: case_id, item_no, coverage, start_found, end_found; ``excerpts``: case_id, item_no, excerpt_no, source_id,
-    quote (the first 20 per item are read); ``sources``: case_id, source_id, page_number, chunk_index, text."""
-    read = excerpts.where(F.col("excerpt_no") <= 20).join(sources, ["case_id", "source_id"], "left")
+    quote (with ``limit`` the first ones per item); ``sources``: case_id, source_id, page_number, chunk_index, text."""
+    read = (excerpts if limit is None else excerpts.where(F.col("excerpt_no") <= limit)).join(sources, ["case_id", "source_id"], "left")
     exact = pinned(read, "exact", find_loose(F.col("text"), F.col("quote")))
     words = F.regexp_count("exact", F.lit("[A-Za-zÀ-ÿ0-9]+"))
     long_enough = (F.length("exact") >= MIN_EXCERPT_CHARS) & (words >= MIN_EXCERPT_WORDS)

@@ -6,18 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselens.functions.matching import cut, match_spans, pinned
-from caselens.functions.numbering import top_per_key
+from caselens.functions.numbering import number_rows
 from caselens.functions.scratch import written
 from caselens.functions.text import compact, flags, lines, present, squash, strip
 from caselens.operators.chunks import assemble_documents, confidence_name, confidence_rank
 from caselens.operators.documents import document_rows, joined_text
 
 # Limits, markers (compared without blanks) and text patterns.
-HEADER_CHARS = 5000
-HEADING_POSITION = 5000
 CONTEXT_CHARS = 700
-MAX_TESTIMONIES = 100
-PAGES_WITHOUT_HINT = 4
+# A printed page total counts up to this; a greater one is taken for digits that follow it.
 PAGES_FROM_HINT = 12
 FORM_CONTEXT = ("inquerito", "policiacivil", "delegacia", "autodeprisaoemflagrante", "audienciadeinstrucao", "pag1de")
 INTERROGATION = ("termodeinterrogatorio", "autodequalificacaoeinterrogatorio")
@@ -122,14 +119,22 @@ def _heading(line_list: Column, markers: tuple[str, ...]) -> Column:
     return F.exists(line_list, good) | F.exists(F.filter(pairs, lambda p: p.isNotNull()), good)
 
 
-def testimony_starts(pages: DataFrame) -> DataFrame:
-    """document_type and role of every page that opens a testimony form."""
+def _within(position: Column, chars: int | None) -> Column:
+    """Whether a marker was found; with ``chars`` only in the first ones."""
+    return position.isNotNull() if chars is None else position <= chars
+
+
+def testimony_starts(pages: DataFrame, limit: int | None = None, chars: int | None = None) -> DataFrame:
+    """document_type and role of every page that opens a testimony form, numbered per case in page order.
+
+    With ``limit`` only the first ones of a case, with ``chars`` only headings in the first characters of a page.
+    """
     read = pinned(pages, "_flat", compact("text")).where(_any(F.col("_flat"), FORM_CONTEXT))
     read = pinned(read, "_lines", F.filter(F.transform(lines("text"), strip), lambda x: x != ""))
     flat = F.col("_flat")
 
     def opens(markers: tuple[str, ...]) -> Column:
-        return (_first_at(flat, markers) <= HEADING_POSITION) & _heading(F.col("_lines"), markers)
+        return _within(_first_at(flat, markers), chars) & _heading(F.col("_lines"), markers)
 
     def context(markers: tuple[str, ...]) -> Column:
         return F.substring(flat, _first_at(flat, markers) + 1, F.lit(CONTEXT_CHARS))
@@ -145,7 +150,8 @@ def testimony_starts(pages: DataFrame) -> DataFrame:
     role = (F.when(F.col("document_type") == "interrogatorio_reu", "reu").when(F.col("document_type").isin("declaracoes", "declaracao"), "declarante")
             .otherwise(F.element_at(F.split("document_type", "_"), -1)))
     found = pinned(read, "document_type", kind).where(F.col("document_type").isNotNull()).withColumn("role", role)
-    return top_per_key(found.select("case_id", "page_number", "document_type", "role"), ["case_id"], [F.col("page_number")], MAX_TESTIMONIES, "testimony_no")
+    named = number_rows(found.select("case_id", "page_number", "document_type", "role"), ["case_id"], "page_number", "testimony_no")
+    return named if limit is None else named.where(F.col("testimony_no") <= limit)
 
 
 def page_total_hint(flat: Column) -> Column:
@@ -153,16 +159,19 @@ def page_total_hint(flat: Column) -> Column:
     return F.when(total.between(1, PAGES_FROM_HINT), total)
 
 
-def testimony_pages(pages: DataFrame, starts: DataFrame) -> DataFrame:
-    """Member pages; coverage is integral only when the form is closed, complete and not interrupted."""
+def testimony_pages(pages: DataFrame, starts: DataFrame, limit: int | None = None, chars: int | None = None) -> DataFrame:
+    """Member pages; coverage is integral only when the form is closed, complete and not interrupted.
+
+    With ``limit`` a form without a page total has so many pages at most, with ``chars`` other documents are told by the first characters of a page.
+    """
     flat = F.col("_flat")
-    other = _first_at(flat, OTHER_DOCUMENTS) <= HEADING_POSITION
+    other = _within(_first_at(flat, OTHER_DOCUMENTS), chars)
     marked = pinned(pages.select("case_id", "page_number", "text"), "_flat", compact("text")).select(
         "case_id", "page_number", page_total_hint(flat).alias("hint"), F.coalesce(other, F.lit(False)).alias("stop_before"),
         _any(flat, CLOSING).alias("stop_after"))
     marked = marked.join(starts.select("case_id", "page_number", F.lit(True).alias("is_start")), ["case_id", "page_number"], "left").withColumn(
         "is_start", F.coalesce("is_start", F.lit(False)))
-    members = assemble_documents(marked, PAGES_WITHOUT_HINT, "hint")
+    members = assemble_documents(marked, limit, "hint")
     per = members.groupBy(*DOC).agg(
         F.count(F.lit(1)).alias("_n"), F.max(F.when(F.col("page_number") == F.col("start_page"), F.col("hint"))).alias("total_hint"),
         F.bool_or("stop_after").alias("closed"), F.max("stop_reason").alias("stop_reason"))
@@ -184,10 +193,10 @@ def _clean_name(raw: Column) -> Column:
     return F.when(good, name)
 
 
-def _found_name(pattern: str, method: str, confidence: str) -> Column:
-    """First acceptable name in page order."""
+def _found_name(pattern: str, method: str, confidence: str, chars: int | None) -> Column:
+    """First acceptable name in page order; with ``chars`` in the first characters of a page."""
     def on_page(p: Column) -> Column:
-        head = F.substring(p["text"], 1, HEADER_CHARS)
+        head = p["text"] if chars is None else F.substring(p["text"], 1, chars)
         whole, names = F.regexp_extract_all(head, F.lit(pattern), F.lit(0)), F.regexp_extract_all(head, F.lit(pattern), F.lit(1))
         return F.zip_with(whole, names, lambda w, n: F.struct(
             _clean_name(n).alias("name"), F.lit(method).alias("method"), F.lit(confidence).alias("confidence"),
@@ -196,16 +205,16 @@ def _found_name(pattern: str, method: str, confidence: str) -> Column:
     return F.get(F.filter(F.flatten(F.transform("pages", on_page)), lambda f: f["name"].isNotNull()), F.lit(0))
 
 
-def identify_person(docs: DataFrame) -> DataFrame:
+def identify_person(docs: DataFrame, chars: int | None = None) -> DataFrame:
     """Label in the header, then the name in the title, then the qualification; ``docs`` carries role and pages."""
     role, found = F.col("role"), None
     for name, label in ROLE_LABELS.items():
         separator = ACCUSED_SEPARATOR if name == "reu" else LABEL_SEPARATOR
-        steps = [_found_name(rf"(?iu){label}{separator}{NAME}{TERMINATOR}", "rotulo_cabecalho", "alta")]
+        steps = [_found_name(rf"(?iu){label}{separator}{NAME}{TERMINATOR}", "rotulo_cabecalho", "alta", chars)]
         if name in TITLES:
-            steps.append(_found_name(rf"(?iu){TITLES[name]}{NAME}{TERMINATOR}", "titulo_nominal", "alta"))
+            steps.append(_found_name(rf"(?iu){TITLES[name]}{NAME}{TERMINATOR}", "titulo_nominal", "alta", chars))
         if name == "declarante":
-            steps.append(_found_name(rf"(?iu){PRESENCE}{NAME}{TERMINATOR}", "qualificacao", "media"))
+            steps.append(_found_name(rf"(?iu){PRESENCE}{NAME}{TERMINATOR}", "qualificacao", "media", chars))
         found = (F.when if found is None else found.when)(role == name, F.coalesce(*steps))
     none = F.struct(F.lit(None).cast("string").alias("name"), F.lit("nao_identificado").alias("method"), F.lit("baixa").alias("confidence"),
                     F.lit(None).cast("string").alias("evidence"), F.lit(None).cast("bigint").alias("page_number"))

@@ -69,7 +69,7 @@ def k02(spark, sf):
 
 @query("k03_sanitize_questions", f"""
 WITH s AS (SELECT o_custkey AS case_id, o_orderkey AS k, count(*) AS supports, count(DISTINCT l_linestatus) AS testimonies
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber <= 3 AND {TRUE} GROUP BY 1, 2),
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE {TRUE} GROUP BY 1, 2),
 q AS (SELECT *, 'O que houve no termo ' || (k // 2) || '?' AS question, CASE WHEN k % 3 = 0 THEN 'contradicao_potencial' ELSE 'esclarecimento' END AS kind, k % 5 AS priority FROM s),
 v AS (SELECT * FROM q WHERE kind <> 'contradicao_potencial' OR testimonies >= 2),
 u AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY case_id, question ORDER BY k) = 1)
@@ -210,8 +210,8 @@ def k10(spark, sf):
 
 @query("k11_theses", f"""
 WITH e AS (SELECT o_custkey AS case_id, l_orderkey AS item_no, l_orderkey % 40 AS page, max((l_returnflag <> 'R')::INT) AS pro
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber <= CASE WHEN l_returnflag <> 'R' THEN 4 ELSE 3 END AND {TRUE} GROUP BY 1, 2, 3),
-c AS (SELECT o_custkey AS case_id, o_orderkey AS item_no, 't' || (o_orderkey % 6) AS thesis_id, o_orderkey % 3 AS priority FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 12),
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE {TRUE} GROUP BY 1, 2, 3),
+c AS (SELECT o_custkey AS case_id, o_orderkey AS item_no, 't' || (o_orderkey % 6) AS thesis_id, o_orderkey % 3 AS priority FROM orders),
 v AS (SELECT c.* FROM c JOIN e USING (case_id, item_no) WHERE pro = 1 AND thesis_id <> 't5'
   QUALIFY row_number() OVER (PARTITION BY case_id, thesis_id ORDER BY item_no) = 1)
 SELECT case_id, item_no, thesis_id, 'inicial' AS support_level, row_number() OVER (PARTITION BY case_id ORDER BY priority, thesis_id) AS position FROM v""")

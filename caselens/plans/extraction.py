@@ -206,13 +206,20 @@ def x06(spark, sf):
     return T.key_events(hits).select("case_id", "rule_no", "value", "page_number")
 
 
-@query("k12_judgment_sources", "WITH" + STARTS + """
-SELECT case_id, count(*) FILTER (true) * 0 + sum(CASE WHEN k % 10 = 9 THEN 0 ELSE 2 + CASE WHEN k % 6 <> 0 THEN 5 ELSE 0 END + CASE WHEN k % 2 = 1 THEN 1 ELSE 0 END END)::BIGINT AS n
-FROM st GROUP BY 1 HAVING n > 0""")
+@query("k12_judgment_sources", "WITH" + STARTS + """,
+ok AS (SELECT * FROM st WHERE k % 10 <> 9),
+final AS (SELECT o_custkey AS case_id, arg_min(o_orderkey, o_orderkey) AS k FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey, o_orderkey % 4 = 0, o_orderdate::DATE)
+SELECT case_id, 'dispositivo_sentenca' AS origin, 'dispositivo' AS part, k * 4 + 1 AS page_number FROM ok
+UNION ALL SELECT case_id, 'pena_aplicada', 'pena_aplicada-' || i, k * 4 + 1 FROM ok, (SELECT unnest([1, 2]) AS i) WHERE k % 6 <> 0
+UNION ALL SELECT case_id, 'artigo_sentenca', 'artigo_sentenca-1', k * 4 + 1 FROM ok
+UNION ALL SELECT case_id, u.o, u.p, k * 4 + 1 FROM ok, (SELECT unnest([{'o': 'multa', 'p': 'multa'}, {'o': 'regime_inicial', 'p': 'regime_inicial'}, {'o': 'substituicao_pena', 'p': 'substituicao_pena'}]) AS u) WHERE k % 6 <> 0
+UNION ALL SELECT case_id, 'sursis', 'sursis', k * 4 + 2 FROM ok WHERE k % 2 = 1
+UNION ALL SELECT case_id, 'transito_em_julgado', 'transito', k * 4 + 2 FROM final WHERE k % 10 <> 9""")
 def k12(spark, sf):
     from caselens.operators.evidence import judgment_sources
 
-    found = D.decisions(written(_decision_pages(spark, sf), "pages"))
+    pages = written(_decision_pages(spark, sf), "pages")
+    found = D.decisions(pages)
     one = lambda c: F.when(F.col(f"{c}.page_number").isNotNull(), F.struct(
         F.col(f"{c}.excerpt").alias("excerpt"), F.array(F.col(f"{c}.page_number").cast("int")).alias("pages"))).alias(c)
     many = lambda c: F.transform(c, lambda v: F.struct(v["excerpt"].alias("excerpt"), F.array(v["page_number"].cast("int")).alias("pages"))).alias(c)
@@ -220,6 +227,7 @@ def k12(spark, sf):
         "case_id", "decision_id", "source_confidence",
         F.struct(F.col("disposition.text").alias("excerpt"), F.col("disposition.pages").cast("array<int>").alias("pages")).alias("disposition"),
         many("penalties"), many("articles"), one("fine"), one("regime"), one("substitution"), one("suspension"))
-    certificates = D.final_judgments(_decision_pages(spark, sf)).limit(0).select(
-        "case_id", "source_confidence", F.lit(1).alias("certificate_no"), "excerpt", F.array(F.col("page_number").cast("int")).alias("pages"))
-    return judgment_sources(shaped, certificates).groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+    certificates = D.final_judgments(pages).select(
+        "case_id", "source_confidence", F.col("page_number").alias("certificate_no"), "excerpt", F.array(F.col("page_number").cast("int")).alias("pages"))
+    part = F.when(F.col("origin") == "transito_em_julgado", "transito").otherwise(F.regexp_extract("source_id", "^dec-[0-9a-f]+-(.*)$", 1))
+    return judgment_sources(shaped, certificates).select("case_id", "origin", part.alias("part"), F.element_at("pages", 1).alias("page_number"))

@@ -365,17 +365,17 @@ def c05_offsets(spark, sf):
 
 @query("c06_assemble_documents", "WITH" + RAW_PAGES + """
 , p AS (SELECT case_id, page_number, doc_id % 7 = 0 AS is_start, doc_id % 13 = 5 AS stop_before, doc_id % 11 = 3 AS stop_after
-  FROM raw_pages WHERE doc_id % 17 <> 9),
-slots AS (SELECT s.case_id, s.page_number AS start_page, s.page_number + step AS page_number, step
-  FROM p s, (SELECT unnest(range(0, 4)) AS step) WHERE s.is_start),
-marked AS (SELECT slots.*, p.is_start IS NULL OR (step > 0 AND (p.is_start OR p.stop_before)) AS bad, coalesce(p.stop_after, false) AS last
-  FROM slots LEFT JOIN p USING (case_id, page_number)),
-run AS (SELECT *, bool_or(bad) OVER w AS stopped, coalesce(bool_or(last) OVER (PARTITION BY case_id, start_page ORDER BY step
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS closed FROM marked
-  WINDOW w AS (PARTITION BY case_id, start_page ORDER BY step ROWS UNBOUNDED PRECEDING))
-SELECT case_id, start_page, page_number FROM run WHERE NOT stopped AND NOT closed""")
+  FROM raw_pages),
+seen AS (SELECT *, max(CASE WHEN is_start THEN page_number END) OVER w AS start_page, max(CASE WHEN stop_before THEN page_number END) OVER w AS blocked,
+  max(CASE WHEN stop_after THEN page_number END) OVER (PARTITION BY case_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS closed,
+  lead(is_start) OVER (PARTITION BY case_id ORDER BY page_number) AS next_start
+  FROM p WINDOW w AS (PARTITION BY case_id ORDER BY page_number ROWS UNBOUNDED PRECEDING)),
+doc AS (SELECT *, row_number() OVER (PARTITION BY case_id, start_page ORDER BY page_number DESC) AS back FROM seen
+  WHERE start_page IS NOT NULL AND coalesce(blocked <= start_page, true) AND coalesce(closed < start_page, true))
+SELECT case_id, start_page, page_number, max(CASE WHEN back = 1 THEN CASE WHEN stop_after THEN 'fechado' WHEN next_start THEN 'inicio' WHEN next_start IS NULL THEN 'ausente'
+  ELSE 'outro_documento' END END) OVER (PARTITION BY case_id, start_page) AS stop_reason FROM doc""")
 def c06(spark, sf):
     d = F.col("doc_id")
-    pages = I.raw_pages(spark, sf).where(d % 17 != 9).select(
+    pages = I.raw_pages(spark, sf).select(
         "case_id", "page_number", (d % 7 == 0).alias("is_start"), (d % 13 == 5).alias("stop_before"), (d % 11 == 3).alias("stop_after"))
-    return C.assemble_documents(pages, 4).select("case_id", "start_page", "page_number")
+    return C.assemble_documents(pages, block=64).select("case_id", "start_page", "page_number", "stop_reason")

@@ -272,7 +272,7 @@ def f01(spark, sf):
 
 @query("f02_rrf", "WITH" + VECTORS + """
 , lists AS (SELECT *, CASE model WHEN 'm' THEN 0 ELSE 1 END AS no, CASE model WHEN 'm' THEN 1.0 ELSE 0.35 END AS weight FROM vec_hits
-  WHERE rank <= 10 AND (model = 'm' OR case_id <> 3)),
+  WHERE rank <= 10),
 total AS (SELECT case_id, sum(w) AS total FROM (SELECT DISTINCT case_id, no, weight::DOUBLE AS w FROM lists) GROUP BY 1),
 fused AS (SELECT case_id, page_number, round(sum(weight::DOUBLE / (60 + rank)), 12) AS fused, min((no, rank)) AS seen FROM lists GROUP BY 1, 2)
 SELECT case_id::BIGINT AS case_id, page_number, rank, round(fused * 61 / total, 4) AS score FROM (
@@ -281,7 +281,7 @@ WHERE rank <= 10""")
 def f02(spark, sf):
     hits = V.vector_search(_vectors(spark, sf), _vector_queries(spark, sf), 10)
     first = F.col("model") == "m"
-    lists = hits.where(first | (F.col("case_id") != 3)).withColumn("list_no", F.when(first, 0).otherwise(1)).withColumn(
+    lists = hits.withColumn("list_no", F.when(first, 0).otherwise(1)).withColumn(
         "weight", F.when(first, 1.0).otherwise(0.35))
     return R.rrf(lists, ["case_id"], 10).select("case_id", "page_number", "rank", "score")
 

@@ -12,11 +12,10 @@ from caselens.sources import suites as S
 
 
 @query("s02_read_qrels", """
-WITH q AS (SELECT item_id FROM benchmark ORDER BY item_id LIMIT 20),
-j AS (SELECT doc_id % 40 AS query_id, doc_id FROM labels WHERE doc_id % 40 IN (SELECT item_id FROM q)),
-o AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM j) ORDER BY doc_id LIMIT 100)
-SELECT doc_id, lang || chr(10) || source || chr(10) || chr(10) || text || chr(10) || ' x ' || chr(10) || chr(10) AS text FROM documents
-WHERE doc_id IN (SELECT doc_id FROM j) OR doc_id IN (SELECT doc_id FROM o)""")
+SELECT 'document' AS kind, doc_id AS id, NULL::BIGINT AS query_id, NULL::BIGINT AS score,
+  lang || chr(10) || source || chr(10) || chr(10) || text || chr(10) || ' x ' || chr(10) || chr(10) AS text FROM documents
+UNION ALL SELECT 'query', item_id, item_id, NULL, text FROM benchmark
+UNION ALL SELECT 'judgement', doc_id, doc_id % 40, 2, NULL FROM labels WHERE doc_id % 40 IN (SELECT item_id FROM benchmark)""")
 def s02(spark, sf):
     folder = shared_dir(spark, "qrels")
     docs = table(spark, sf, "documents").select(
@@ -26,7 +25,11 @@ def s02(spark, sf):
     save(docs, "doc.csv")
     save(table(spark, sf, "benchmark").select(F.col("item_id").alias("ID"), F.col("text").alias("TEXT")), "query.csv")
     save(table(spark, sf, "labels").select((F.col("doc_id") % 40).alias("QUERY_ID"), F.col("doc_id").alias("DOC_ID"), F.lit("2.0").alias("SCORE")), "qrel.csv")
-    return S.read_qrels(spark, folder, 20, 100)[0]
+    documents, queries, judgements = S.read_qrels(spark, folder)
+    none = F.lit(None).cast("bigint")
+    return documents.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), none.alias("query_id"), none.alias("score"), "text").unionByName(
+        queries.select(F.lit("query").alias("kind"), F.col("query_id").alias("id"), "query_id", none.alias("score"), F.col("question").alias("text"))).unionByName(
+        judgements.select(F.lit("judgement").alias("kind"), F.col("doc_id").alias("id"), "query_id", "score", F.lit(None).cast("string").alias("text")))
 
 
 @query("s03_read_suite", """

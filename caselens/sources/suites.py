@@ -119,18 +119,24 @@ def read_ocr_gold(spark: SparkSession, path: str, multi_line: bool = True) -> Da
         "suite_id", "human_review_status", F.col("c.page_number").alias("page_id"), "c.label", F.col("c.expected_phrases").alias("phrases"))
 
 
-def read_qrels(spark: SparkSession, folder: str, queries: int, distractors: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, queries, judgements) of a relevance set: the first queries by id, all judged documents and
-    the first other ones by key. The limits are the size of the benchmark the caller asks for."""
+def read_qrels(spark: SparkSession, folder: str, queries: int | None = None, distractors: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, queries, judgements) of a relevance set, markup stripped from the documents.
+
+    With ``queries`` only the first ones by id and their judgements; with ``distractors`` all judged documents and only the
+    first other ones by key.
+    """
     def csv(name: str, schema: str) -> DataFrame:
         return spark.read.csv(f"{folder}/{name}", schema=schema, header=True, multiLine=True, escape='"', enforceSchema=False)
 
     texts = ", ".join(f"{f} string" for f in RELEVANCE_FIELDS)
-    asked = csv("query.csv", "ID bigint, TEXT string").orderBy("ID").limit(queries).select(F.col("ID").alias("query_id"), F.col("TEXT").alias("question"))
+    asked = csv("query.csv", "ID bigint, TEXT string")
+    asked = (asked if queries is None else asked.orderBy("ID").limit(queries)).select(F.col("ID").alias("query_id"), F.col("TEXT").alias("question"))
     judged = csv("qrel.csv", "QUERY_ID bigint, DOC_ID bigint, SCORE string").select(
         F.col("QUERY_ID").alias("query_id"), F.col("DOC_ID").alias("doc_id"), F.col("SCORE").try_cast("double").cast("int").alias("score")).join(
         asked.select("query_id"), "query_id", "left_semi")
     docs = strip_markup(csv("doc.csv", f"KEY bigint, {texts}"), RELEVANCE_FIELDS).select(F.col("KEY").alias("doc_id"), "text")
+    if distractors is None:
+        return docs, asked, judged
     wanted = judged.select("doc_id").distinct()
     # Only the keys are ranked; the texts of the chosen documents are joined afterwards.
     others = docs.select("doc_id").join(wanted, "doc_id", "left_anti").orderBy("doc_id").limit(distractors)
