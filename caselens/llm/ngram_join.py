@@ -16,7 +16,7 @@ Documents with equal sets are one class from the start. A signature's smallest c
 head that it meets most often (a star), and the matches are merged into components. In the next rounds one class of each component in a
 signature meets one of its largest component, another one each time, until a round finds nothing: so a group of near copies costs a
 row per member, not a row per pair. What is left are signatures of components that may or may not be linked: there all classes of different components meet, a block
-of 512 per signature and round, but only pairs that parity marks leave open become rows.
+of 4,096 per signature and round, but only pairs that parity marks leave open become rows.
 """
 
 from __future__ import annotations
@@ -42,9 +42,9 @@ OFTEN = 3
 #: Bits of the filter for candidate documents at most (16 MB).
 FILTER_BITS = 1 << 27
 #: Rounds in which one class of each component in a signature meets one of the largest.
-TURNS = 3
+TURNS = 2
 #: Classes of one signature that meet all others of it in one round, after that.
-BLOCK = 512
+BLOCK = 4096
 #: 64-bit words of a set's parity marks, and their columns.
 MARKS = 8
 MARK_COLUMNS = [f"mark{i}" for i in range(MARKS)]
