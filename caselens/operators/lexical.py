@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselens.functions.numbering import top_per_key
+from caselens.functions.scratch import written
 from caselens.functions.text import ascii_tokens, compact, index_tokens
+from caselens.sources.store import Store
 
 K1 = 1.2
 B = 0.75
@@ -58,28 +62,64 @@ def term_statistics(index: DataFrame) -> DataFrame:
     return index.groupBy("case_id", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def term_weights(index: DataFrame, cases: DataFrame) -> DataFrame:
+class Index(NamedTuple):
+    """Postings (case_id, page_number, chunk_index, term, chunk_len, tf), terms (case_id, term, df) and cases (case_id, n_docs, avg_len)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    cases: DataFrame
+
+
+#: Order of the stored rows within a file, by which readers skip what they were not asked for.
+INDEX_ORDER = {"postings": ["case_id", "term"], "terms": ["case_id", "term"]}
+
+
+def index_tables(chunks: DataFrame) -> Index:
+    """The whole index of some chunks. Texts are cut into tokens once; a chunk without tokens has one posting without a term."""
+    tokens = chunks.withColumn("_tokens", index_tokens("text"))
+    rows = tokens.select(*CHUNK_KEY, F.size("_tokens").alias("chunk_len"), F.explode_outer("_tokens").alias("term"))
+    found = written(rows.groupBy(*CHUNK_KEY, "term", "chunk_len").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    lengths = found.groupBy(*CHUNK_KEY).agg(F.max("chunk_len").alias("chunk_len"))
+    cases = lengths.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("chunk_len").alias("avg_len"))
+    return Index(found, term_statistics(found.where("term is not null")), cases)
+
+
+def refresh_index(store: Store, chunks: DataFrame, cases: DataFrame | None = None) -> None:
+    """Bring the stored index up to date: that of all chunks, or of the chunks of ``cases`` alone, whose former rows go."""
+    changed = chunks.select("case_id").distinct() if cases is None else cases.select("case_id").distinct()
+    tables = index_tables(chunks if cases is None else chunks.join(changed, "case_id", "left_semi"))
+    store.commit({name: (getattr(tables, name), changed) for name in Index._fields}, order=INDEX_ORDER)
+
+
+def stored_index(store: Store) -> Index:
+    return Index(*(store.read(name) for name in Index._fields))
+
+
+def term_weights(index: DataFrame, terms: DataFrame, cases: DataFrame) -> DataFrame:
     """BM25 contribution of every posting."""
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = K1 * (1 - B + B * F.col("chunk_len") / F.col("avg_len"))
     weight = F.greatest(idf, F.lit(MIN_IDF)) * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     return (
-        index.join(term_statistics(index), ["case_id", "term"]).join(cases, "case_id")
+        index.join(terms, ["case_id", "term"]).join(cases, "case_id")
         .select(*CHUNK_KEY, "term", weight.alias("weight"))
     )
 
 
-def bm25_search(chunks: DataFrame, queries: DataFrame, k: int, index: DataFrame | None = None) -> DataFrame:
-    """L03 over a stored index, L04 when ``index`` is not given.
+def bm25_search(chunks: DataFrame | None, queries: DataFrame, k: int, index: Index | None = None) -> DataFrame:
+    """L03 over a stored index, without a look at the chunks; L04 over chunks when ``index`` is not given.
 
     ``queries``: query_id, case_id, question. The score of a hit is its rank score round(1/rank, 4).
     Scores are compared at nine decimals so that equal chunks tie whatever the order of addition.
     """
     asked = query_tokens(queries).select("query_id", "case_id", F.explode("tokens").alias("term"))
-    found = postings(chunks, asked) if index is None else index.join(
-        asked.select("case_id", "term").distinct(), ["case_id", "term"], "left_semi")
+    if index is None:
+        found = postings(chunks, asked)
+        index = Index(found, term_statistics(found), case_statistics(chunks))
+    else:
+        found = index.postings.join(asked.select("case_id", "term").distinct(), ["case_id", "term"], "left_semi")
     scored = (
-        term_weights(found, case_statistics(chunks))
+        term_weights(found, index.terms, index.cases)
         .join(asked, ["case_id", "term"])
         .groupBy("query_id", *CHUNK_KEY).agg(F.round(F.sum("weight"), 9).alias("bm25"))
     )

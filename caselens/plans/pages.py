@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from caselens.functions.scratch import shared_dir
@@ -12,6 +14,7 @@ from caselens.plans import inputs as I
 from caselens.plans.inputs import CHUNKS_CTE, GRADED_CTE, PAGES_CTE, RAW_PAGES, table
 from caselens.plans.registry import query
 from caselens.sources import tables as S
+from caselens.sources.store import Store
 from caselens.streaming.ingest import ingest_stream, page_stream
 
 
@@ -42,7 +45,7 @@ def s05(spark, sf):
     path = shared_dir(spark, "chunks")
     S.replace_cases(spark, stored.drop("source_confidence"), path, buckets=8)
     S.replace_cases(spark, new, path, buckets=8)
-    return spark.read.parquet(path).drop("case_bucket")
+    return S.stored_rows(spark, path)
 
 
 @query("s05_upsert_results", """
@@ -100,26 +103,41 @@ def s08(spark, sf):
     return S.dedupe_ingest(up.where(~stored), up.where(stored)).select("case_id", "answer_id", "reused")
 
 
-@query("s09_ingest_stream", """
-WITH up AS (SELECT *, sha256(text) AS sha FROM documents),
-kept AS (SELECT min(doc_id) AS id FROM up WHERE length(text) <= 20000 AND text NOT LIKE 'The %' GROUP BY sha),
-norm AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)),
-    lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text
-  FROM documents WHERE doc_id IN (SELECT id FROM kept))
-SELECT 'doc' || doc_id AS case_id, CASE WHEN length(text) <= 1800 THEN 1
-  ELSE CAST(ceil((length(text) - 180) / 1620.0) AS BIGINT) END AS n_chunks FROM norm WHERE text <> ''""")
+@query("s09_ingest_stream", f"""
+WITH up AS (SELECT *, sha256(text) AS sha, CASE WHEN text LIKE 'The %' THEN 'cabecalho' WHEN length(text) = 0 THEN 'vazio' WHEN length(text) > 20000 THEN 'tamanho' END AS reason FROM documents),
+kept AS (SELECT min(doc_id) AS id FROM up WHERE reason IS NULL GROUP BY sha),
+norm AS (SELECT doc_id, trim(array_to_string(list_filter(list_transform(string_split(text, chr(10)),
+    lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)), {I.BLANKS_SQL}) AS text
+  FROM documents WHERE doc_id IN (SELECT id FROM kept)),
+cut AS (SELECT doc_id, text, unnest(range(CASE WHEN length(text) <= 1800 THEN 1 ELSE CAST(ceil((length(text) - 180) / 1620.0) AS BIGINT) END)) AS i FROM norm WHERE text <> ''),
+parts AS (SELECT 'doc' || doc_id AS case_id, i, trim(substring(text, i * 1620 + 1, 1800), {I.BLANKS_SQL}) AS text FROM cut)
+SELECT 'chunk' AS kind, case_id, i AS n, text FROM parts
+UNION ALL SELECT 'index', case_id, count(*), term FROM (
+  SELECT DISTINCT case_id, i, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+')) AS term FROM parts) GROUP BY case_id, term
+UNION ALL SELECT 'vector', case_id, count(*), NULL FROM parts GROUP BY case_id
+UNION ALL SELECT 'refusal', 'doc' || doc_id, doc_id, reason FROM up WHERE reason IS NOT NULL
+UNION ALL SELECT 'result', 'doc' || doc_id, doc_id, 'tese' FROM documents WHERE doc_id NOT IN (SELECT id FROM kept)""")
 def s09(spark, sf):
+    """All documents are uploaded to a store that holds a result of each: results of read files go, those of refused files and copies stay."""
     schema = table(spark, sf, "documents").schema
     docs = page_stream(spark, f"{sf}/documents*.parquet", schema)
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("case_id")
     files = docs.select(
-        F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("case_id"), F.sha2("text", 256).alias("sha256"),
+        name, F.sha2("text", 256).alias("sha256"),
         F.col("doc_id").alias("seq"), F.when(F.startswith("text", F.lit("The ")), "<html").otherwise("%PDF").alias("head"),
         F.length("text").alias("size_bytes"), F.timestamp_seconds("doc_id").alias("created_at"),
         F.lit(1).alias("page_number"), F.col("text").alias("native_text"), F.lit("").alias("ocr_text"),
         F.lit(0).alias("image_count"))
-    cases, chunk_table, marks = (shared_dir(spark, n) for n in ("cases", "chunks", "ingest"))
-    ingest_stream(files, cases, chunk_table, marks, max_bytes=20000, buckets=8).awaitTermination()
-    return spark.read.parquet(chunk_table).groupBy("case_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    store = Store(spark, shared_dir(spark, "store"), 8)
+    former = table(spark, sf, "documents").select(name, F.col("doc_id").alias("n"), F.lit("tese").alias("kind"))
+    store.commit({"results": (former, former)})
+    ingest_stream(files, store, shared_dir(spark, "ingest"), max_bytes=20000).awaitTermination()
+    text = lambda kind, df, n, c: df.select(F.lit(kind).alias("kind"), "case_id", n.cast("bigint").alias("n"), c.alias("text"))
+    vectors = store.read("vectors").groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+    parts = [text("chunk", store.read("chunks"), F.col("chunk_index"), F.col("text")), text("index", store.read("terms"), F.col("df"), F.col("term")),
+             text("vector", vectors, F.col("n"), F.lit(None).cast("string")), text("refusal", store.read("refusals"), F.col("seq"), F.col("reason")),
+             text("result", store.read("results"), F.col("n"), F.col("kind"))]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("s10_text_sha256", "WITH" + RAW_PAGES + """

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caselens.functions.numbering import first_per_key
-from caselens.functions.scratch import written
+from caselens.functions.scratch import shared_dir, written
 from caselens.operators import fusion as R
 from caselens.operators import lexical as L
 from caselens.operators import vectors as V
 from caselens.plans import inputs as I
 from caselens.plans.inputs import CHUNKS_CTE, QUESTIONS, SEARCH_CTE, table
 from caselens.plans.registry import query
+from caselens.sources.store import Store
 
 # Questions to tokens; the list of ignored words is the fixed value of the lexical operator.
 STOP_SQL = ", ".join(f"'{w}'" for w in L.STOP_WORDS)
@@ -121,15 +122,41 @@ def l02_cases(spark, sf):
     return L.case_statistics(I.chunks(spark, sf))
 
 
+@query("l02_refresh_index", CHUNKS_CTE + """,
+reread AS (SELECT case_id, page_number, chunk_index, text FROM chunks WHERE case_id NOT IN (SELECT case_id FROM chunks WHERE page_number % 7 = 3 AND chunk_index = 0 AND source_confidence = 'baixa')
+  UNION ALL SELECT case_id, page_number, 0, 'relido Relido às ' || page_number FROM (SELECT DISTINCT case_id, page_number FROM chunks WHERE page_number % 7 = 3 AND source_confidence = 'baixa')
+    WHERE case_id IN (SELECT case_id FROM chunks WHERE page_number % 7 = 3 AND chunk_index = 0 AND source_confidence = 'baixa')),""" + INDEX.replace("FROM chunks)", "FROM reread)") + """
+SELECT 'posting' AS kind, case_id, page_number, chunk_index, term, tf, chunk_len::BIGINT AS n, NULL::DOUBLE AS avg_len FROM postings JOIN lens USING (case_id, page_number, chunk_index)
+UNION ALL SELECT 'term', case_id, NULL, NULL, term, NULL, df, NULL FROM dfs
+UNION ALL SELECT 'case', case_id, NULL, NULL, NULL, NULL, n_docs, avg_len FROM stats""")
+def l02_refresh(spark, sf):
+    """Cases with a doubtful page are read again: only their part of the stored index is made anew."""
+    chunks = written(I.chunks(spark, sf).select("case_id", "page_number", "chunk_index", "text", "source_confidence"), "chunks")
+    store = Store(spark, shared_dir(spark, "index"), 8)
+    L.refresh_index(store, chunks)
+    again = chunks.where("page_number % 7 = 3 and source_confidence = 'baixa'")
+    cases = again.where("chunk_index = 0").select("case_id").distinct()
+    new = again.join(cases, "case_id", "left_semi").select("case_id", "page_number").distinct().select(
+        "case_id", "page_number", F.lit(0).alias("chunk_index"), F.concat(F.lit("relido Relido às "), F.col("page_number").cast("string")).alias("text"))
+    L.refresh_index(store, new, cases)
+    found = L.stored_index(store)
+    none = lambda kind: F.lit(None).cast(kind)
+    return found.postings.where("term is not null").select(
+        F.lit("posting").alias("kind"), *L.CHUNK_KEY, "term", "tf", F.col("chunk_len").cast("bigint").alias("n"), none("double").alias("avg_len")).unionByName(
+        found.terms.select(F.lit("term").alias("kind"), "case_id", none("int").alias("page_number"), none("int").alias("chunk_index"), "term", none("bigint").alias("tf"), F.col("df").alias("n"), none("double").alias("avg_len"))).unionByName(
+        found.cases.select(F.lit("case").alias("kind"), "case_id", none("int").alias("page_number"), none("int").alias("chunk_index"), none("string").alias("term"), none("bigint").alias("tf"), F.col("n_docs").alias("n"), "avg_len"))
+
+
 BM25_SQL = SEARCH_CTE + "," + QUERY_TOKENS + "," + INDEX + "," + bm25_ctes("5") + """
 SELECT query_id, case_id, page_number, chunk_index, rank, bm25, score FROM lexical"""
 
 
 @query("l03_bm25_search", BM25_SQL)
 def l03(spark, sf):
-    """Flagship: the index is made once for all chunks and then asked."""
-    chunks = I.chunks(spark, sf)
-    return L.bm25_search(chunks, I.questions(spark, sf), 5, L.postings(chunks))
+    """Flagship: the index of all chunks is stored, then asked; no chunk is read again."""
+    store = Store(spark, shared_dir(spark, "index"), 8)
+    L.refresh_index(store, I.chunks(spark, sf))
+    return L.bm25_search(None, I.questions(spark, sf), 5, L.stored_index(store))
 
 
 @query("l04_bm25_transient", BM25_SQL)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caselens.functions.text import squash
+from caselens.sources.store import BUCKETS, Store
 
 PAGE_SCHEMA = T.StructType([
     T.StructField("case_id", T.StringType()),
@@ -24,7 +25,6 @@ PAGE_SCHEMA = T.StructType([
     T.StructField("ocr_cache_hit", T.BooleanType()),
     T.StructField("ocr_fallback_used", T.BooleanType()),
 ])
-BUCKETS = 256
 # Order in which a stored case may be reused.
 REUSE_ORDER = {"concluido": 0, "processando": 1, "pendente": 2}
 
@@ -45,31 +45,20 @@ def merge_cases(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
-def case_bucket(buckets: int = BUCKETS):
-    return F.pmod(F.xxhash64("case_id"), F.lit(buckets)).cast("int")
-
-
 def replace_cases(spark: SparkSession, new: DataFrame, path: str, keys: list[str] | None = None,
                   buckets: int = BUCKETS) -> None:
-    """S05 on a stored table: only the buckets touched by ``new`` are rewritten.
+    """S05 on a stored table: only the buckets touched by ``new`` are written, beside the old ones; readers switch at once.
 
     A bucket is a directory, not a task: a large case is written by as many tasks as hold its rows.
-    Writing the same batch again gives the same table.
+    Writing the same rows again gives the same table.
     """
     keys = keys or ["case_id"]
-    new = new.withColumn("case_bucket", case_bucket(buckets))
-    try:
-        stored = spark.read.parquet(path)
-    except Exception as exc:
-        if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-            raise
-        stored = None
-    if stored is not None:
-        # At most ``buckets`` numbers reach the driver.
-        touched = [r[0] for r in new.select("case_bucket").distinct().collect()]
-        new = merge_cases(stored.where(F.col("case_bucket").isin(touched)), new, keys)
-    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("case_bucket").parquet(path))
+    Store(spark, path, buckets).commit({"rows": (new, new)}, keys)
+
+
+def stored_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """What ``replace_cases`` has stored; None if nothing was."""
+    return Store(spark, path).read("rows")
 
 
 def invalidate(derived: DataFrame, replaced_cases: DataFrame) -> DataFrame:

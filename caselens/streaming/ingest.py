@@ -1,4 +1,9 @@
-"""Incremental ingest of new case files."""
+"""Incremental ingest of new case files into one store.
+
+A micro-batch writes every table that follows from its files - files, refusals, chunks, index, vectors - and drops what was derived
+from the former text of replaced cases (S06), in one commit under the number of the batch. A batch that fails half way leaves
+the store as it was; a batch that is delivered again changes nothing.
+"""
 
 from __future__ import annotations
 
@@ -6,46 +11,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from caselens.functions.scratch import written
 from caselens.operators.chunks import chunk_pages
+from caselens.operators.lexical import CHUNK_KEY, INDEX_ORDER, index_tables
 from caselens.operators.quality import grade_pages
-from caselens.sources.tables import dedupe_ingest, replace_cases
+from caselens.operators.vectors import hash_embed
+from caselens.sources.store import Store
+from caselens.sources.tables import dedupe_ingest
 
 MAX_BYTES = 100 * 1024 * 1024
 HEADER = "%PDF"
+WRITER = "ingest"
 
 
-def accept(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Header and size check of uploaded files."""
-    return files.where(F.startswith("head", F.lit(HEADER)) & (F.col("size_bytes") > 0) & (F.col("size_bytes") <= max_bytes))
+def checked(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Header and size check of uploaded files: ``reason`` names the first that fails, NULL when the file is accepted."""
+    size = F.coalesce("size_bytes", F.lit(0))
+    return files.withColumn("reason", F.when(~F.coalesce(F.startswith("head", F.lit(HEADER)), F.lit(False)), "cabecalho")
+                            .when(size <= 0, "vazio").when(size > max_bytes, "tamanho"))
 
 
-def ingest_batch(batch: DataFrame, cases_path: str, chunks_path: str, max_bytes: int, buckets: int) -> None:
-    """One micro-batch: a repeated run rewrites the same cases, so at-least-once delivery is enough."""
+def ingest_batch(batch: DataFrame, number: int, store: Store, max_bytes: int = MAX_BYTES, derived: tuple[str, ...] = ("results",)) -> bool:
+    """One micro-batch; False if it was committed before. ``derived`` names tables of results that depend on a case's text."""
+    if store.done(WRITER, number):
+        return False
     spark = batch.sparkSession
-    files = accept(batch.select("case_id", "sha256", "seq", "head", "size_bytes", "created_at").distinct(), max_bytes)
-    try:
-        stored = spark.read.parquet(cases_path).select("case_id", "sha256", "status", "updated_at")
-        # Rows of this batch left by a first, failed attempt must not make the batch reuse itself.
-        stored = stored.join(files.select("case_id"), "case_id", "left_anti")
-        answered = dedupe_ingest(files, stored)
-    except Exception as exc:
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        answered = dedupe_ingest(files, files.select(
-            "case_id", "sha256", F.lit("erro").alias("status"), F.col("created_at").alias("updated_at")).limit(0))
-    fresh = answered.where(~F.col("reused"))
-    pages = batch.join(fresh.select("case_id"), "case_id", "left_semi")
-    replace_cases(spark, chunk_pages(grade_pages(pages)), chunks_path, buckets=buckets)
-    done = fresh.select("case_id", "sha256", F.lit("concluido").alias("status"),
-                        F.col("created_at").alias("updated_at"))
-    replace_cases(spark, done, cases_path, buckets=buckets)
-
-
-def ingest_stream(source: DataFrame, cases_path: str, chunks_path: str, checkpoint: str,
-                  max_bytes: int = MAX_BYTES, buckets: int = 256) -> StreamingQuery:
+    files = written(checked(batch.select("case_id", "sha256", "seq", "head", "size_bytes", "created_at").distinct(), max_bytes), "files")
+    refused = files.where("reason is not null").select("case_id", "sha256", "seq", "reason")
+    stored = store.read("files")
+    if stored is None:
+        stored = spark.createDataFrame([], "case_id string, sha256 string, status string, updated_at timestamp")
+    answered = dedupe_ingest(files.where("reason is null"), stored)
+    done = written(answered.where(~F.col("reused")).select(
+        "case_id", "sha256", F.lit("concluido").alias("status"), F.col("created_at").alias("updated_at")), "done")
+    pages = batch.join(done.select("case_id"), "case_id", "left_semi")
+    chunks = written(chunk_pages(grade_pages(pages)), "chunks")
+    index = index_tables(chunks)
+    vectors = hash_embed(chunks).select(*CHUNK_KEY, "slots", "norm")
+    tables = {"files": (done, done), "refusals": (refused, refused), "chunks": (chunks, done), "vectors": (vectors, done)}
+    tables |= {name: (rows, done) for name, rows in index._asdict().items()}
+    for name in derived:
+        if (old := store.read(name)) is not None:
+            tables[name] = (old.limit(0), done)
+    return store.commit(tables, batch=(WRITER, number), order=INDEX_ORDER)
+
+
+def ingest_stream(source: DataFrame, store: Store, checkpoint: str, max_bytes: int = MAX_BYTES, derived: tuple[str, ...] = ("results",)) -> StreamingQuery:
     """Start the stream over ``source`` (one row per page with its file's sha256, seq, head, size_bytes, created_at)."""
     return (
-        source.writeStream.foreachBatch(lambda batch, _: ingest_batch(batch, cases_path, chunks_path, max_bytes, buckets))
+        source.writeStream.foreachBatch(lambda batch, number: ingest_batch(batch, number, store, max_bytes, derived))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -21,6 +21,8 @@ from caselens.operators import quality as Q
 from caselens.operators import safety as H
 from caselens.operators import testimonies as T
 from caselens.operators import vectors as V
+from caselens.sources.store import Store
+from caselens.streaming.ingest import ingest_batch
 
 day = dt.date
 
@@ -277,3 +279,58 @@ def test_long_decisions_and_late_marks(spark):
     none = spark.createDataFrame([], "case_id long, source_confidence string, certificate_no long, excerpt string, pages array<int>")
     got = K.judgment_sources(made, none, 100).collect()
     assert [(x.hostile, len(x.text)) for x in got] == [(True, 100)]
+
+
+def test_store_switches_whole(spark, tmp_path, monkeypatch):
+    """A commit that fails before its manifest is in place leaves the old rows; its leftovers are deleted by vacuum."""
+    store = Store(spark, str(tmp_path / "store"), 4)
+    rows = lambda text, cases: spark.createDataFrame([(c, text) for c in cases], "case_id long, text string")
+    seen = lambda: {(r.case_id, r.text) for r in store.read("rows").collect()}
+    assert store.read("rows") is None
+    old, new = rows("old", range(10)), rows("new", (2, 3))
+    store.commit({"rows": (old, old)})
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_switch", lambda self, state: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            store.commit({"rows": (new, new)})
+    assert seen() == {(c, "old") for c in range(10)}
+    assert len(store.vacuum()) == 1
+    assert store.commit({"rows": (new, new), "more": (new, new)}, batch=("w", 5))
+    want = {(c, "new" if c in (2, 3) else "old") for c in range(10)}
+    assert seen() == want and store.read("more").count() == 2
+    assert not store.commit({"rows": (old, old)}, batch=("w", 5)) and seen() == want
+    store.commit({"rows": (new.limit(0), old)})
+    assert seen() == set()
+
+
+def test_ingest_replay(spark, tmp_path, monkeypatch):
+    """Batches that fail half way or come twice give the same tables; a file read again takes its results, index and vectors along."""
+    store = Store(spark, str(tmp_path / "store"), 4)
+    schema = "case_id string, sha256 string, seq long, head string, size_bytes long, created_at timestamp, page_number int, native_text string, ocr_text string, image_count int"
+    row = lambda case, sha, seq, text, head="%PDF-1.7", size=10: (case, sha, seq, head, size, dt.datetime(2024, 1, 1), 1, text, "", 0)
+    first = spark.createDataFrame([row("a", "1", 1, "palavra um dois"), row("b", "2", 2, "outra palavra"), row("c", "2", 3, "outra palavra"), row("d", "4", 4, "x", "<html"),
+                                   row("e", "5", 5, "x", size=0), row("f", "6", 6, "x", None, None)], schema)
+    results = spark.createDataFrame([("a", 1), ("z", 2)], "case_id string, score int")
+    store.commit({"results": (results, results)})
+
+    def state():
+        return {name: sorted(map(str, store.read(name).collect())) for name in ("files", "refusals", "chunks", "postings", "terms", "cases", "vectors", "results")}
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_switch", lambda self, state: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            ingest_batch(first, 0, store)
+    assert store.read("chunks") is None and store.read("results").count() == 2
+    assert ingest_batch(first, 0, store)
+    once = state()
+    assert not ingest_batch(first, 0, store) and state() == once
+    assert {r.case_id for r in store.read("files").collect()} == {"a", "b"}
+    assert {(r.case_id, r.reason) for r in store.read("refusals").collect()} == {("d", "cabecalho"), ("e", "vazio"), ("f", "cabecalho")}
+    assert [r.case_id for r in store.read("results").collect()] == ["z"]
+    again = spark.createDataFrame([row("a", "9", 7, "palavra nova")], schema)
+    assert ingest_batch(again, 1, store)
+    assert {r.term for r in store.read("terms").where("case_id = 'a'").collect()} == {"palavra", "nova"}
+    asked = spark.createDataFrame([(1, "a", "palavra nova"), (2, "b", "palavra dois")], "query_id long, case_id string, question string")
+    hits = {(r.query_id, r.case_id) for r in L.bm25_search(None, asked, 3, L.stored_index(store)).collect()}
+    assert hits == {(1, "a"), (2, "b")}
+    assert V.stale_vectors(store.read("vectors"), store.read("chunks")).count() == 0
