@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselens.functions.aligned import SPECIAL, aligned, composed, stored_cut
 from caselens.functions.matching import pinned
 from caselens.functions.numbering import first_per_key, top_per_key
-from caselens.functions.text import flags, fold, present, squash, squash_fold, strip
+from caselens.functions.text import BLANK_RUN, flags, fold, present, squash, squash_fold, strip
 from caselens.operators.safety import USABLE, injection_reasons_of
 
 # Limits and vocabularies of the checks.
@@ -52,9 +53,12 @@ def _escaped(c: Column) -> Column:
 
 
 def find_quote(text: Column, quote: Column) -> Column:
-    """Stored spelling of a quotation: any case, any run of blanks for a space; NULL when it is not there."""
-    pattern = F.concat(F.lit("(?iu)"), F.replace(_escaped(quote), F.lit(" "), F.lit(r"\s+")))
-    return F.regexp_substr(text, pattern)
+    """Stored spelling of a quotation: any case, any run of blanks of any kind for a space, accents composed or not; NULL when it is not there."""
+    pattern = F.concat(F.lit("(?iu)"), F.replace(_escaped(composed(quote)), F.lit(" "), F.lit(BLANK_RUN)))
+    view = aligned(text)
+    hit = F.regexp_substr(view["text"], pattern)
+    at = F.instr(view["text"], hit) - 1
+    return F.when(text.rlike(SPECIAL), F.when(hit.isNotNull(), stored_cut(text, view, at, at + F.length(hit)))).otherwise(F.regexp_substr(text, pattern))
 
 
 def find_loose(text: Column, quote: Column) -> Column:
@@ -62,14 +66,20 @@ def find_loose(text: Column, quote: Column) -> Column:
     return squash(find_quote(text, squash(quote)))
 
 
-def check_quotes(claims: DataFrame, sources: DataFrame, keys: list[str], min_chars: int = MIN_QUOTE_CHARS) -> DataFrame:
+def find_exact(text: Column, quote: Column) -> Column:
+    """Stored spelling of a quotation that stands there as it is, case apart."""
+    return F.regexp_substr(text, F.concat(F.lit("(?iu)"), _escaped(quote)))
+
+
+def check_quotes(claims: DataFrame, sources: DataFrame, keys: list[str], min_chars: int = MIN_QUOTE_CHARS, loose: bool = True) -> DataFrame:
     """``claims``: case_id, source_id, item_no, quote, keys; ``sources``: case_id, source_id, text, page_number, ...
 
-    Keeps what is found, in stored spelling (``exact``); repeats of a quotation count once per claim.
+    Keeps what is found, in stored spelling (``exact``); repeats of a quotation count once per claim. With ``loose`` blanks and
+    the spelling of accents don't matter.
     """
     asked = claims.withColumn("_q", cleaned_quote(F.col("quote"))).where(F.length("_q") >= min_chars)
     met = asked.join(sources, ["case_id", "source_id"])
-    found = pinned(met, "exact", find_quote(F.col("text"), F.col("_q"))).where(F.col("exact").isNotNull()).drop("_q", "text")
+    found = pinned(met, "exact", (find_quote if loose else find_exact)(F.col("text"), F.col("_q"))).where(F.col("exact").isNotNull()).drop("_q", "text")
     return first_per_key(found.withColumn("_fold", F.lower("exact")), [*keys, "source_id", "_fold"], [F.col("item_no")]).drop("_fold")
 
 
@@ -144,7 +154,7 @@ def requirements(topics: DataFrame, cases: DataFrame, claims: DataFrame, evidenc
     requirement_id, item_no, source_id, quote; ``sources``: case_id, source_id, text, page_number, source_confidence.
     """
     keys = ["case_id", "topic_id", "requirement_id"]
-    checked = check_quotes(evidence, sources, keys, 1).groupBy(*keys).agg(
+    checked = check_quotes(evidence, sources, keys, 1, loose=False).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("evidence_count"), F.bool_or(F.col("source_confidence") == "media").alias("media_source"),
         F.array_sort(F.collect_set("page_number")).alias("pages"))
     rows = cases.join(topics, "topic_id").join(claims, keys, "left").join(checked, keys, "left")
@@ -325,7 +335,7 @@ def judgment_sources(decisions: DataFrame, certificates: DataFrame, chars: int |
 
 
 def _event_supported(kind: Column, text: Column) -> Column:
-    t = fold(text)
+    t = fold(composed(text))
     out = None
     for name, terms in EVENT_TERMS.items():
         out = (F.when if out is None else out.when)(kind == name, _any_of(t, terms))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselens.functions.text import flags, present, word_count, words
+from caselens.functions.text import WIDE_BLANKS, flags, present, word_count, words
 
 # Fixed values of the data model.
 SPARSE_IMAGE_CHARS = 500
@@ -28,7 +28,7 @@ REUSABLE_STATUS = ("concluido", "processando", "pendente")
 
 def normalized(c: Column) -> Column:
     unix = F.replace(c, F.lit("\r"), F.lit("\n"))
-    one_blank = F.regexp_replace(unix, r"[\s&&[^\n]]+", " ")
+    one_blank = F.regexp_replace(unix, rf"[\s\x1C-\x1F\x85{WIDE_BLANKS}&&[^\n]]+", " ")
     return F.trim(F.regexp_replace(one_blank, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselens.functions.aligned import composed
 from caselens.functions.matching import cut, match_spans, pinned
 from caselens.functions.numbering import number_rows
 from caselens.functions.scratch import written
@@ -252,7 +253,8 @@ def phase_of(text: Column) -> Column:
 
 
 def testimonies(pages: DataFrame) -> DataFrame:
-    """One record per testimony with phase, coverage, person, speech and the review flag."""
+    """One record per testimony with phase, coverage, person, speech (in composed spelling) and the review flag."""
+    pages = pages.withColumn("text", composed("text"))
     starts = written(testimony_starts(pages), "starts")
     members = testimony_pages(pages, starts)
     kinds = starts.select("case_id", F.col("page_number").alias("start_page"), "document_type", "role")

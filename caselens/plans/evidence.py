@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caselens.functions.aligned import composed, decomposed
+from caselens.functions.text import squash, words
 from caselens.operators import evidence as K
 from caselens.plans.inputs import table
 from caselens.plans.registry import query
@@ -50,6 +52,23 @@ def k01(spark, sf):
     return K.check_quotes(claims, _sources(spark, sf), ["case_id", "claim"]).select("case_id", "source_id", "claim", "item_no", "exact")
 
 
+@query("k01_decomposed_quotes", """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM documents),
+q AS (SELECT doc_id, trim(array_to_string(ws[3:9], ' '), ' "') AS quote FROM w WHERE len(ws) >= 3)
+SELECT doc_id AS case_id, lower(quote) AS quote FROM q WHERE length(quote) >= 8""")
+def k01_decomposed(spark, sf):
+    """Texts are stored with decomposed accents, quotations come with composed ones: each is found, in the spelling of the text."""
+    docs = table(spark, sf, "documents").where("text is not null")
+    ws = words(F.col("text"))
+    sources = docs.select(F.col("doc_id").alias("case_id"), F.col("doc_id").alias("source_id"), decomposed("text").alias("text"), F.lit(1).alias("page_number"))
+    claims = docs.where(F.size(ws) >= 3).select(
+        F.col("doc_id").alias("case_id"), F.col("doc_id").alias("source_id"), F.lit(1).alias("item_no"), F.array_join(F.slice(ws, 3, 7), " ").alias("quote"))
+    found = K.check_quotes(claims, sources, ["case_id"])
+    # nothing composed is left in what was cut out of the stored text
+    stored = found.where(F.col("exact") == decomposed("exact"))
+    return stored.select("case_id", F.lower(squash(composed("exact"))).alias("quote"))
+
+
 @query("k02_sanitize_comparisons", """
 WITH c AS (SELECT DISTINCT o_custkey AS case_id, o_orderkey AS a, (o_orderkey * 7 % 3) AS s, o_orderkey % 4 <> 3 AND o_orderkey % 5 <> 4 AS ok FROM orders)
 SELECT case_id, a::VARCHAR AS a_id, CASE s WHEN 0 THEN 'coincidente' ELSE 'potencial' END AS state, ok AS valid,
@@ -105,7 +124,7 @@ def _topics(spark):
 
 
 def _requirements(spark, sf):
-    """Each order is a case of one topic; its lines 1 to 5 answer the requirements, the first line number wins."""
+    """Each order is a case of one topic; its lines 1 to 5 answer the requirements, the first line number wins. One blank where the text has two is no quotation."""
     o = table(spark, sf, "orders")
     cases = o.select(F.col("o_orderkey").alias("case_id"), F.concat(F.lit("t"), (F.col("o_orderkey") % 2).cast("string")).alias("topic_id"))
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.concat(F.lit("r"), F.col("l_linenumber").cast("string")).alias("requirement_id"),
@@ -116,7 +135,7 @@ def _requirements(spark, sf):
         F.lit("porque sim").alias("justification"), F.when(flag == "A", F.array(F.lit("lei9"), F.lit("lei7"))).alias("claimed_legal_ids"))
     evidence = li.join(cases, "case_id").select(
         "case_id", "topic_id", "requirement_id", "item_no", F.col("case_id").alias("source_id"),
-        F.when(F.col("l_linestatus") == "F", "consta DO TERMO").otherwise("inventado").alias("quote"))
+        F.when(F.col("l_linestatus") == "F", ' "CONSTA  do TERMO" ').otherwise("consta DO TERMO").alias("quote"))
     sources = _sources(spark, sf).withColumn("case_id", F.col("source_id"))
     return K.requirements(_topics(spark), cases, claims, evidence, sources)
 

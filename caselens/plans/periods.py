@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caselens.functions.aligned import decomposed
 from caselens.operators import dates as X
 from caselens.operators import intervals as J
 from caselens.plans.inputs import table
@@ -199,6 +200,14 @@ def x02(spark, sf):
     return X.dated_events(_dated_chunks(spark, sf)).select("case_id", "page_number", "event_type", "value", "confidence")
 
 
+@query("x02_decomposed_events", "WITH" + EVENTS + " SELECT case_id, page_number, event_type, value::VARCHAR AS value, confidence FROM conf")
+def x02_decomposed(spark, sf):
+    """The same texts with decomposed accents give the same events; raw values are cut out of the stored spelling."""
+    chunks = _dated_chunks(spark, sf)
+    found = X.dated_events(chunks.withColumn("text", decomposed("text")))
+    return found.where(F.col("raw_value") == decomposed("raw_value")).select("case_id", "page_number", "event_type", "value", "confidence")
+
+
 @query("x03_dedupe_events", "WITH" + EVENTS + """
 SELECT case_id, event_type, value::VARCHAR AS value, arg_min(page_number, (confidence = 'baixa', page_number)) AS page_number,
   max(confidence) AS confidence FROM conf GROUP BY 1, 2, 3""")

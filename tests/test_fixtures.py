@@ -2,10 +2,12 @@
 
 import datetime as dt
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from caselens.functions.aligned import aligned, composed, stored_cut
 from caselens.functions.numbering import number_rows
 from caselens.functions.text import ascii_tokens, compact, fold, squash
 from caselens.operators import chunks as C
@@ -197,6 +199,41 @@ def test_decomposed_accents_and_wide_blanks(spark):
     assert (row.reasons, row.s, row.t) == (["ignorar_regras"], "a b", ["acao"])
 
 
+def test_stored_spelling(spark):
+    """Marks, ligatures and wide blanks: what is found in the composed text is cut out of the stored one."""
+    nfd = lambda x: unicodedata.normalize("NFD", x)
+    text = nfd("O réu não ﬁcou.\u00a0 Órgão: ") + "x\u0323\u0301y ação ﬁm"
+    df = spark.createDataFrame([(text,), ("sem sinais",), ("",), (None,), ("\u0301só",)], "text string")
+    got = [r[0] for r in df.select(composed("text")).collect()]
+    assert got == ["O réu não ficou.\u00a0 Órgão: xy ação fim", "sem sinais", "", None, "só"]
+    view = aligned("text")
+    for word, stored in (("não", nfd("não")), ("ficou", "ﬁcou"), ("xy", "x\u0323\u0301y"), ("fim", "ﬁm"), ("Órgão", nfd("Órgão"))):
+        at = F.instr(view["text"], word) - 1
+        assert df.limit(1).select(stored_cut(F.col("text"), view, at, at + len(word))).first()[0] == stored
+    # A no-break space and decomposed accents in the stored text
+    claims = spark.createDataFrame([(1, 1, 1, "réu não ficou. órgão")], "case_id long, source_id long, item_no int, quote string")
+    sources = spark.createDataFrame([(1, 1, text, 1)], "case_id long, source_id long, text string, page_number int")
+    assert [r.exact for r in K.check_quotes(claims, sources, ["case_id"]).collect()] == [nfd("réu não ") + "ﬁcou.\u00a0 " + nfd("Órgão")]
+    # X02, X08-X10, X04, K06
+    chunk = spark.createDataFrame([(1, 1, 0, nfd("Recebo a denúncia em 3 de março de 2020, às 10h."), "alta")], "case_id long, page_number long, chunk_index int, text string, source_confidence string")
+    row = one(X.dated_events(chunk))
+    assert (row.event_type, row.value, row.raw_value) == ("recebimento_denuncia", day(2020, 3, 3), nfd("3 de março de 2020")) and row.excerpt.startswith(nfd("Recebo a denúncia"))
+    pages = spark.createDataFrame([(1, n, nfd(t), "alta", False) for n, t in enumerate(["SENTENÇA", "Ante o exposto, CONDENO o réu. Pena-base em três anos de reclusão."])],
+                                  "case_id long, page_number long, text string, source_confidence string, has_glued_words boolean")
+    found = one(D.decisions(pages))
+    assert found.result == "condenatoria" and [(p.phase, p.years, p.species) for p in found.penalties] == [("base", 3, "reclusao")]
+    topics = spark.createDataFrame([(1, 1, ["prisão\u00a0cautelar"])], "case_id long, topic_id long, terms array<string>")
+    source = spark.createDataFrame([(1, nfd("houve Prisão  cautelar"))], "case_id long, text string")
+    assert one(K.topic_has_evidence(source, topics)).has_evidence
+    # Q03: blanks of every kind
+    page = spark.createDataFrame([("a\u00a0\u2009 b\u3000\r\n \u00a0\nc\u202f",)], "native_text string")
+    assert one(Q.normalize_pages(page)).native_text == "a b\nc"
+    # A requirement's quotation must stand there as it is, case apart
+    evidence = spark.createDataFrame([(1, "t", "r", 1, 1, "FOI OUVIDO no"), (1, "t", "r", 2, 1, "foi  ouvido no")], "case_id long, topic_id string, requirement_id string, item_no int, source_id long, quote string")
+    texts = spark.createDataFrame([(1, 1, "ele foi ouvido no termo")], "case_id long, source_id long, text string")
+    assert [r.exact for r in K.check_quotes(evidence, texts, ["case_id"], 1, loose=False).collect()] == ["foi ouvido no"]
+
+
 def test_alias_masking(spark):
     pages = spark.createDataFrame([("c", 1, "A testemunha Ana viu Maria da Silva sair; banana [B]. Maria ficou.")], "case_id string, page_number int, text string")
     aliases = spark.createDataFrame([("c", "a", "Ana", "[A]"), ("c", "m", "Maria", "[M $1]"), ("c", "s", "Maria da Silva", "[B]"), ("c", "x", "B", "[X]")],
