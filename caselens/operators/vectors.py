@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselens.functions.numbering import top_per_key
+from caselens.functions.scratch import written
 from caselens.functions.text import ascii_tokens
 
 HASH_DIMS = 384
@@ -86,19 +87,26 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def hash_search(chunks: DataFrame, queries: DataFrame, k: int, dims: int = HASH_DIMS) -> DataFrame:
-    """V01 + V03 without vector rows: the dot product adds the question weight of each chunk token."""
+    """V01 + V03 without vectors: only the slots that a question of the case uses meet its weights, on (case, slot).
+
+    A chunk that shares no slot with a question scores 0. Such chunks only fill up lists with fewer than k others, in
+    page order, so the first 2k chunks of a case are enough of them.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
-    asked = hash_embed(queries, dims, "question").where(F.col("norm") > 0)
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
-                        lambda i: F.size(F.filter("slots", lambda s: s == i)) / F.col("norm"))
-    asked = asked.select("query_id", "case_id", dense.alias("_q"))
-    held = hash_embed(chunks, dims).select(*CHUNK_KEY, "slots", "norm")
-    dot = F.aggregate("slots", F.lit(0.0), lambda acc, s: acc + F.get("_q", s))
-    # A chunk without tokens has the zero vector: distance 1, score 0.
-    similarity = F.when(F.col("norm") > 0, dot / F.col("norm")).otherwise(F.lit(0.0))
-    scored = held.join(asked, "case_id").select("query_id", *CHUNK_KEY, F.round(_clip(similarity), 6).alias("score"))
-    return _best(scored, k, ["query_id", "case_id"])
+    embedded = hash_embed(queries, dims, "question").where(F.col("norm") > 0)
+    asked = hash_weights(embedded, ["query_id", "case_id"])
+    # Every token of a chunk adds the question's weight of its slot, so slots need not be counted first.
+    held = hash_embed(chunks, dims).select(*CHUNK_KEY, "norm", F.explode("slots").alias("idx"))
+    met = held.join(asked, ["case_id", "idx"]).groupBy("query_id", *CHUNK_KEY, "norm").agg(F.sum("weight").alias("_dot"))
+    scored = met.select("query_id", *CHUNK_KEY, F.round(_clip(F.col("_dot") / F.col("norm")), 6).alias("score"))
+    best = written(_best(scored, k, ["query_id", "case_id"]).drop("rank"), "best")
+    full = best.groupBy("query_id", "case_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k)
+    short = embedded.select("query_id", "case_id").join(full, ["query_id", "case_id"], "left_anti")
+    head = chunks.join(short.select("case_id").distinct(), "case_id", "left_semi").select(*CHUNK_KEY)
+    head = top_per_key(head, ["case_id"], [F.col("page_number"), F.col("chunk_index")], 2 * k).drop("rank")
+    rest = head.join(short, "case_id").join(best, ["query_id", *CHUNK_KEY], "left_anti").select("query_id", *CHUNK_KEY, F.lit(0.0).alias("score"))
+    return _best(best.unionByName(rest), k, ["query_id", "case_id"])
 
 
 def _vote(hits: DataFrame, keys: list[str], per_model: int, best_of: Column) -> DataFrame:

@@ -1,8 +1,10 @@
 """Hand-made rows for rules that the tables do not reach, with the expected results written out."""
 
 import datetime as dt
+import math
 import random
 import unicodedata
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -371,3 +373,20 @@ def test_ingest_replay(spark, tmp_path, monkeypatch):
     hits = {(r.query_id, r.case_id) for r in L.bm25_search(None, asked, 3, L.stored_index(store)).collect()}
     assert hits == {(1, "a"), (2, "b")}
     assert V.stale_vectors(store.read("vectors"), store.read("chunks")).count() == 0
+
+
+def test_hash_search_fills_with_zeros(spark):
+    """Against dense vectors: few chunks share a slot with the question, the others follow in page order."""
+    rows = [("a", p, c, t) for p, (c, t) in enumerate([(0, "x"), (0, "alfa beta"), (1, "beta beta gama"), (0, "..."), (0, "delta"), (0, "alfa")])]
+    chunks = spark.createDataFrame(rows, "case_id string, page_number long, chunk_index long, text string")
+    asked = spark.createDataFrame([(1, "a", "alfa beta"), (2, "a", "nada"), (3, "a", "!"), (4, "b", "alfa")], "query_id long, case_id string, question string")
+    dense = lambda df, text, key: {tuple(r[c] for c in key): Counter(r.slots) for r in V.hash_embed(df, text=text).collect()}
+    held, wanted = dense(chunks, "text", V.CHUNK_KEY), dense(asked, "question", ["query_id", "case_id"])
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    for k in (1, 3, 6):
+        want = set()
+        for (q, case), v in wanted.items():
+            if v:
+                scored = sorted((-round(sum(v[s] * n for s, n in h.items()) / (norm(v) * norm(h)) if h else 0, 6), p, c) for (x, p, c), h in held.items() if x == case)
+                want |= {(q, p, c, rank + 1, -s) for rank, (s, p, c) in enumerate(scored[:k])}
+        assert {(r.query_id, r.page_number, r.chunk_index, r["rank"], r.score) for r in V.hash_search(chunks, asked, k).collect()} == want
