@@ -190,7 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Forest:
                 yield pa.RecordBatch.from_arrays([ids, marks, *(pa.array(x[:, j]) for j in range(len(FEATURES)))], ["doc_id", "quality", *FEATURES])
 
     schema = "doc_id long, quality int, " + ", ".join(f"{f} double" for f in FEATURES)
-    known = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
+    # ``rows`` bounds the ids: no text is shuffled to find theirs
+    known = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
     found = known.mapInArrow(run, schema).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
     return grow(found[list(FEATURES)].to_numpy(dtype=float), found["quality"].to_numpy(dtype=float))
 
