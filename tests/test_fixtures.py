@@ -248,6 +248,19 @@ def test_alias_masking(spark):
     assert H.residuals(plain, aliases).count() == 0
 
 
+def test_many_aliases(spark):
+    """A case of 100,000 names: a page meets only those that it holds, also inside words, over blanks and of one letter."""
+    many = spark.range(100_000).select(F.lit("c").alias("case_id"), F.concat(F.lit("n"), "id").alias("alias_id"), F.concat(F.lit("Nome Comprido "), F.lpad("id", 6, "0")).alias("value"),
+                                       F.concat(F.lit("[N"), "id", F.lit("]")).alias("replacement"))
+    few = spark.createDataFrame([("c", "ab", "A.B", "[1]"), ("c", "x", "X", "[2]"), ("c", "i", "Inês", "[3]"), ("d", "o", "Nome", "[4]"), ("c", "e", "...", "[5]")], many.schema)
+    pages = spark.createDataFrame([("c", 1, "Sr. A.B e X viram Nome Comprido 012345, e nome comprido 000007Inês."), ("c", 2, ""), ("d", 1, "Nome Comprido 000001")], "case_id string, page_number int, text string")
+    got = {(r.case_id, r.page_number): (r.text, {h.alias_id for h in r.alias_hits}) for r in H.pseudonymize(pages, many.unionByName(few)).collect()}
+    assert got["c", 1] == ("Sr. [1] e [2] viram [N12345], e [N7][3].", {"ab", "x", "n12345", "n7", "i"})
+    assert got["c", 2] == ("", set()) and got["d", 1] == ("[4] Comprido 000001", {"o"})
+    left = {(r.case_id, r.category) for r in H.residuals(pages, many.unionByName(few)).collect()}
+    assert left == {("c", "alias:x"), ("c", "alias:n12345"), ("c", "alias:n7"), ("c", "alias:i"), ("d", "alias:o")}
+
+
 def test_empty_set_scores(spark):
     df = spark.createDataFrame([([], []), ([], [1]), ([1], [])], "o array<int>, e array<int>")
     got = df.select(B.set_precision(F.col("o"), F.col("e")).alias("p"), B.set_recall(F.col("o"), F.col("e")).alias("r")).collect()
