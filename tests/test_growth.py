@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caselens.functions.aligned import composed, decomposed
 from caselens.functions.matching import MARK, match_spans
+from caselens.operators import safety as H
 
 
 def test_spelling_of_a_long_text(spark):
@@ -24,3 +25,13 @@ def test_spans_beside_the_mark(spark):
     rows = spark.createDataFrame([(1, f"a1{MARK}b22"), (2, "a1b22"), (3, "none"), (4, None)], "i int, t string")
     got = {r.i: r.s and [tuple(x) for x in r.s] for r in rows.select("i", match_spans(F.col("t"), r"\d+").alias("s")).collect()}
     assert got == {1: [(1, 2, "1"), (4, 6, "22")], 2: [(1, 2, "1"), (3, 5, "22")], 3: [], 4: None}
+
+
+def test_names_in_a_long_page(spark):
+    text = "uma folha qualquer 12 " * 30000 + "MARIA da  Silva fim"
+    pages = spark.createDataFrame([("c", 1, text), ("d", 1, "abc")], "case_id string, page_number int, text string")
+    aliases = spark.createDataFrame([("c", "m", "da  silva", "[N]"), ("c", "x", "Joaquim Xavier", "[X]")], "case_id string, alias_id string, value string, replacement string")
+    started = time.time()
+    got = {(r.case_id, r.text[-13:], len(r.alias_hits)) for r in H.pseudonymize(pages, aliases).collect()}
+    assert got == {("c", "MARIA [N] fim", 1), ("d", "abc", 0)}
+    assert time.time() - started < 40
