@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caselens.functions.aligned import composed, decomposed
 from caselens.functions.matching import MARK, match_spans
+from caselens.operators import decisions as D
 from caselens.operators import safety as H
 
 
@@ -35,3 +36,11 @@ def test_names_in_a_long_page(spark):
     got = {(r.case_id, r.text[-13:], len(r.alias_hits)) for r in H.pseudonymize(pages, aliases).collect()}
     assert got == {("c", "MARIA [N] fim", 1), ("d", "abc", 0)}
     assert time.time() - started < 40
+
+
+def test_headings_are_read_once(spark):
+    pages = spark.createDataFrame([(1, 1, "S E N T E N Ç A\nAutos", "alta", False), (1, 2, "fim", "alta", False), (1, 3, "Certidão de trânsito em julgado", "alta", False)],
+                                  "case_id int, page_number int, text string, source_confidence string, has_glued_words boolean")
+    docs = D.decision_documents(pages)
+    assert "certidaode" not in docs._jdf.queryExecution().toString()
+    assert [(r.start_page, r.decision_type, [p.page_number for p in r.pages]) for r in docs.collect()] == [(1, "sentenca", [1, 2])]
