@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caselens.functions.aligned import composed, decomposed
 from caselens.functions.matching import MARK, match_spans
 from caselens.operators import decisions as D
+from caselens.operators import routing as G
 from caselens.operators import safety as H
 
 
@@ -44,3 +45,27 @@ def test_headings_are_read_once(spark):
     docs = D.decision_documents(pages)
     assert "certidaode" not in docs._jdf.queryExecution().toString()
     assert [(r.start_page, r.decision_type, [p.page_number for p in r.pages]) for r in docs.collect()] == [(1, "sentenca", [1, 2])]
+
+
+def test_guides_meet_in_blocks(spark, monkeypatch):
+    words = "furto roubo prova pena fiança multa réu juiz autos prazo".split()
+    text = lambda i, n: " ".join(words[(i * (j + 3) + j * j) % 10] for j in range(n))
+    queries = spark.createDataFrame([(i, text(i, 1 + i % 7)) for i in range(40)] + [(40, ""), (41, None)], "query_id int, question string")
+    guides = spark.createDataFrame(
+        [(f"g{i}", f"{text(i // 2, 2)} - x", "a", "b", "ver", text(i // 3, 2 + i % 6), ["uma_tag"], i % 4 == 0, i) for i in range(60)]
+        + [("geral_resultado_julgamento", "Prova pena - x", "a", "b", "ver", "roubo prova pena", [], True, 60)],
+        "guide_id string, title string, area string, audience string, goal string, question string, tags array<string>, official boolean, pos int")
+    scored = G.score_guides(queries, guides)
+    assert "Join" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "guide_id", "topic", "score").collect()))
+    want, routed = rows(scored), sorted(map(tuple, G.route(scored).select("query_id", "rank", "guide_id", "score").collect()))
+    tokens = {r.query_id: set(r.t) for r in queries.select("query_id", G.routing_tokens(F.col("question")).alias("t")).collect() if r.t}
+    whole = F.concat_ws(" ", "title", "area", "audience", "goal", "question", F.array_join("tags", " "))
+    known = {r.guide_id: set(r.t) for r in guides.select("guide_id", G.routing_tokens(whole).alias("t")).collect()}
+    met = {(q, g) for q, a in tokens.items() for g, b in known.items() if len(a & b) >= (2 if len(a) > 1 else 1) and g != "geral_resultado_julgamento"}
+    assert {(q, g) for q, g, _, _ in want} == met and routed
+    for name, value in (("BLOCK", 7), ("CELLS", 5), ("COUNTERS", 20), ("PENDING", 10)):
+        monkeypatch.setattr(G, name, value)
+    assert rows(G.score_guides(queries, guides)) == want
+    pruned = G.score_guides(queries, guides, G.MIN_GUIDE_SCORE, G.GUIDE_LIMIT)
+    assert sorted(map(tuple, G.route(pruned).select("query_id", "rank", "guide_id", "score").collect())) == routed
