@@ -115,7 +115,16 @@ def multi_query_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFra
     counts = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     lone = queries.join(counts.where("n = 1"), keys, "left_semi")
     several = queries.join(counts.where("n > 1"), keys, "left_semi")
-    hits = written(hybrid_search(chunks, lone, k).unionByName(hybrid_search(chunks, several, 2 * k)), "hits")
+    # One search for all: a shorter list is the head of a longer one.
+    semantic = written(hash_search(chunks, queries, 4 * k), "semantic")
+    lexical = written(bm25_search(chunks, queries, 4 * k), "lexical")
+
+    def part(asked: DataFrame, size: int) -> DataFrame:
+        ids = asked.select("query_id", "case_id")
+        cut = lambda side: side.where(F.col("rank") <= 2 * size).join(ids, ["query_id", "case_id"], "left_semi")
+        return hybrid(cut(semantic), cut(lexical), asked, size)
+
+    hits = written(part(lone, k).unionByName(part(several, 2 * k)), "hits")
     return fuse_queries(hits, queries, k)
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselens.functions.matching import pinned
 from caselens.functions.numbering import top_per_key
 from caselens.functions.scratch import written
 from caselens.functions.text import ascii_tokens
@@ -41,7 +42,7 @@ def vector_id() -> Column:
 
 def hash_embed(df: DataFrame, dims: int = HASH_DIMS, text: str = "text") -> DataFrame:
     """Token indexes and norm on the row itself; the vector is count(index) / norm."""
-    return df.withColumn("slots", hash_slots(F.col(text), dims)).withColumn("norm", slots_norm(F.col("slots")))
+    return pinned(df, "slots", hash_slots(F.col(text), dims)).withColumn("norm", slots_norm(F.col("slots")))
 
 
 def hash_weights(embedded: DataFrame, keys: list[str]) -> DataFrame:

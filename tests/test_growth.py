@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from caselens.functions.aligned import composed, decomposed
 from caselens.functions.matching import MARK, match_spans
 from caselens.operators import decisions as D
+from caselens.operators import lexical as L
 from caselens.operators import routing as G
 from caselens.operators import safety as H
+from caselens.operators.chunks import chunk_pages
+from caselens.operators.quality import grade_pages
 
 
 def test_spelling_of_a_long_text(spark):
@@ -69,3 +72,24 @@ def test_guides_meet_in_blocks(spark, monkeypatch):
     assert rows(G.score_guides(queries, guides)) == want
     pruned = G.score_guides(queries, guides, G.MIN_GUIDE_SCORE, G.GUIDE_LIMIT)
     assert sorted(map(tuple, G.route(pruned).select("query_id", "rank", "guide_id", "score").collect())) == routed
+
+
+def test_terms_are_counted_on_the_row(spark):
+    texts = ["b a b, B ç c 9", "", "Ação área ACAO", "x"]
+    chunks = spark.createDataFrame([("c", i, 0, t) for i, t in enumerate(texts)], "case_id string, page_number int, chunk_index int, text string")
+    found = L.postings(chunks)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.page_number, r.term): (r.tf, r.chunk_len) for r in found.collect()}
+    assert got == {(0, "9"): (1, 7), (0, "a"): (1, 7), (0, "b"): (3, 7), (0, "c"): (2, 7), (2, "acao"): (2, 3), (2, "area"): (1, 3), (3, "x"): (1, 1)}
+    asked = spark.createDataFrame([("c", "b"), ("d", "x")], "case_id string, term string")
+    index = L.index_tables(chunks, asked)
+    assert [(r.page_number, r.term, r.tf) for r in index.postings.where("term is not null").collect()] == [(0, "b", 3)]
+    assert [(r.n_docs, r.avg_len) for r in index.cases.collect()] == [(4, 11 / 4)]
+
+
+def test_pages_are_normalised_once(spark):
+    pages = spark.createDataFrame([("c", 1, "a \t b\x1c\n \n c  d \r e  f", "", 0), ("c", 2, " x\ty ", "", 0)],
+                                  "case_id string, page_number int, native_text string, ocr_text string, image_count int")
+    chunks = chunk_pages(grade_pages(pages)).select("page_number", "text")
+    assert chunks._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 3
+    assert [r.text for r in chunks.orderBy("page_number").collect()] == ["a b\nc d\ne f", "x y"]
