@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from caselens.functions.aligned import composed, decomposed
 from caselens.functions.matching import MARK, match_spans
+from caselens.functions.text import BLANK_RUN, LATIN_BLANK_RUN, WIDE_BLANKS, squash
 from caselens.operators import decisions as D
+from caselens.operators import evidence as K
 from caselens.operators import lexical as L
 from caselens.operators import routing as G
 from caselens.operators import safety as H
@@ -93,3 +95,27 @@ def test_pages_are_normalised_once(spark):
     chunks = chunk_pages(grade_pages(pages)).select("page_number", "text")
     assert chunks._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 3
     assert [r.text for r in chunks.orderBy("page_number").collect()] == ["a b\nc d\ne f", "x y"]
+
+
+def test_loose_quotations_without_a_pattern(spark):
+    """Latin-1 quotations are found by plain comparison, with what the pattern finds; blanks are those of before."""
+    texts = ["Consta  do termo\nnúmero 12\xa0que o RÉU\x1c(sic) foi\tdito [x].*", "straße µ ÿ ß", "a  b a b", "", None, "  ", "Kelvin ſoft İi µμ", "acúcar e aço ﬁm", "a b  c", "x\\E$1 y", "ΑΣ ας"]
+    quotes = ["termo número 12 QUE o réu (SIC)", "[X].*", "STRASSE", "STRAßE Μ", "Μ", "Ÿ", "ÿ SS", "ÿ ß", "A B", "b  A", "", " ", None, "kelvin SOFT", "K", "i̇I", "I", "açúcar", "AÇO fim", "A B C", "X\\e$1  Y", "ασ", "zz", "\n(sic)\xa0"]
+    rows = spark.createDataFrame([(t, q) for t in texts for q in quotes], "t string, q string")
+    found = rows.select("t", "q", K.find_loose(F.col("t"), F.col("q")).alias("got"), squash(K.find_quote(F.col("t"), squash(F.col("q")))).alias("want"))
+    assert "instr(lower(" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = found.collect()
+    assert [(r.t, r.q, r.got) for r in got] == [(r.t, r.q, r.want) for r in got] and sum(r.got is not None for r in got) > 15
+    chars = spark.range(0x10000).where("id < 55296 or id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    assert chars.where(F.col("c").rlike(BLANK_RUN) != F.col("c").rlike(rf"[\s\x1C-\x1F\x85{WIDE_BLANKS}]+")).count() == 0
+    assert chars.where(F.col("c").rlike(r"[\x00-\xFF]") & (F.col("c").rlike(BLANK_RUN) != F.col("c").rlike(LATIN_BLANK_RUN))).count() == 0
+
+
+def test_references_are_read_once(spark):
+    sections = spark.createDataFrame([(1, "concluido", "depoimentos", "concluido", 1, 0, 0)], "case_id int, dossier_status string, section string, status string, item_count int, open_fields int, open_gaps int")
+    items = spark.createDataFrame([(1, "depoimentos", 1, "", "foi  dito")], "case_id int, section string, item_no int, part string, literal string")
+    references = spark.createDataFrame([(1, "depoimentos", 1, "", 1, 0, "isto FOI", "alta")], "case_id int, section string, item_no int, part string, page_number int, chunk_index int, excerpt string, confidence string")
+    chunks = spark.createDataFrame([(1, 1, 0, "Isto foi\ndito", "media")], "case_id int, page_number int, chunk_index int, text string, source_confidence string")
+    findings, _ = K.audit_dossiers(sections, items, references, chunks)
+    assert "instr" not in findings._jdf.queryExecution().optimizedPlan().toString().lower() and "regexp" not in findings._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted(r.code for r in findings.collect()) == ["source_confidence_mismatch", "testimony_not_literal"]
