@@ -32,7 +32,7 @@ def slots_norm(slots: Column) -> Column:
         run = F.when(acc["at"] == slot, acc["run"] + 1).otherwise(F.lit(1).cast("bigint"))
         return F.struct(slot.alias("at"), run.alias("run"), (acc["sq"] + 2 * run - 1).alias("sq"))
 
-    return F.sqrt(F.aggregate(F.array_sort(slots), zero, step, lambda acc: acc["sq"].cast("double")))
+    return F.sqrt(F.aggregate(F.sort_array(slots), zero, step, lambda acc: acc["sq"].cast("double")))
 
 
 def vector_id() -> Column:

@@ -7,6 +7,9 @@ the store as it was; a batch that is delivered again changes nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,6 +25,8 @@ from caselens.sources.tables import dedupe_ingest
 MAX_BYTES = 100 * 1024 * 1024
 HEADER = "%PDF"
 WRITER = "ingest"
+#: Bytes of uploaded files per task: tasks grow in number with the batch, not in size.
+TASK_BYTES = 8 * 1024 * 1024
 
 
 def checked(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -31,6 +36,21 @@ def checked(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
                             .when(size <= 0, "vazio").when(size > max_bytes, "tamanho"))
 
 
+@contextmanager
+def _sized(spark: SparkSession, tasks: int) -> Iterator[None]:
+    """A stream's session plans without adaptive execution, so each shuffle had the same few tasks for a batch of any size."""
+    wanted = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(tasks),
+              "spark.sql.files.maxPartitionBytes": str(4 * TASK_BYTES)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def ingest_batch(batch: DataFrame, number: int, store: Store, max_bytes: int = MAX_BYTES, derived: tuple[str, ...] = ("results",)) -> bool:
     """One micro-batch; False if it was committed before. ``derived`` names tables of results that depend on a case's text."""
     if store.done(WRITER, number):
@@ -44,16 +64,20 @@ def ingest_batch(batch: DataFrame, number: int, store: Store, max_bytes: int = M
     answered = dedupe_ingest(files.where("reason is null"), stored)
     done = written(answered.where(~F.col("reused")).select(
         "case_id", "sha256", F.lit("concluido").alias("status"), F.col("created_at").alias("updated_at")), "done")
-    pages = batch.join(done.select("case_id"), "case_id", "left_semi")
-    chunks = written(chunk_pages(grade_pages(pages)), "chunks")
-    index = index_tables(chunks)
-    vectors = hash_embed(chunks).select(*CHUNK_KEY, "slots", "norm")
-    tables = {"files": (done, done), "refusals": (refused, refused), "chunks": (chunks, done), "vectors": (vectors, done)}
-    tables |= {name: (rows, done) for name, rows in index._asdict().items()}
-    for name in derived:
-        if (old := store.read(name)) is not None:
-            tables[name] = (old.limit(0), done)
-    return store.commit(tables, batch=(WRITER, number), order=INDEX_ORDER)
+    size = files.where("reason is null").agg(F.sum("size_bytes")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    with _sized(spark, tasks):
+        # Files come in as many pieces as they were uploaded in; their pages are dealt anew.
+        pages = batch.join(done.select("case_id"), "case_id", "left_semi").repartition(tasks, "case_id", "page_number")
+        chunks = written(chunk_pages(grade_pages(pages)), "chunks")
+        index = index_tables(chunks)
+        vectors = hash_embed(chunks).select(*CHUNK_KEY, "slots", "norm")
+        tables = {"files": (done, done), "refusals": (refused, refused), "chunks": (chunks, done), "vectors": (vectors, done)}
+        tables |= {name: (rows, done) for name, rows in index._asdict().items()}
+        for name in derived:
+            if (old := store.read(name)) is not None:
+                tables[name] = (old.limit(0), done)
+        return store.commit(tables, batch=(WRITER, number), order=INDEX_ORDER)
 
 
 def ingest_stream(source: DataFrame, store: Store, checkpoint: str, max_bytes: int = MAX_BYTES, derived: tuple[str, ...] = ("results",)) -> StreamingQuery:

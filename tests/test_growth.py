@@ -15,6 +15,8 @@ from caselens.operators import routing as G
 from caselens.operators import safety as H
 from caselens.operators.chunks import chunk_pages
 from caselens.operators.quality import grade_pages
+from caselens.sources.store import Store
+from caselens.streaming import ingest
 
 
 def test_spelling_of_a_long_text(spark):
@@ -97,6 +99,25 @@ def test_pages_are_normalised_once(spark):
     assert [r.text for r in chunks.orderBy("page_number").collect()] == ["a b\nc d\ne f", "x y"]
 
 
+def test_ingest_deals_pages_anew(spark, tmp_path, monkeypatch):
+    """A batch in one piece is worked on by as many tasks as its size asks for, with adaptive execution; the session is as before then."""
+    schema = "case_id string, sha256 string, seq long, head string, size_bytes long, created_at timestamp, page_number int, native_text string, ocr_text string, image_count int"
+    rows = [(f"c{i}", str(i), i, "%PDF", ingest.TASK_BYTES, None, 1, f"palavra {i}", "", 0) for i in range(40)]
+    names = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.files.maxPartitionBytes")
+    settings = lambda: [spark.conf.get(n, None) for n in names]
+    seen = []
+
+    def index(chunks):
+        seen.append((len(chunks.inputFiles()), settings()[:2]))
+        return L.index_tables(chunks)
+
+    monkeypatch.setattr(ingest, "index_tables", index)
+    before, store = settings(), Store(spark, str(tmp_path / "store"), 2)
+    assert ingest.ingest_batch(spark.createDataFrame(rows, schema).coalesce(1), 0, store)
+    assert seen[0][0] > 8 and seen[0][1] == ["true", "40"] and settings() == before
+    assert store.read("terms").count() == 80
+
+
 def test_loose_quotations_without_a_pattern(spark):
     """Latin-1 quotations are found by plain comparison, with what the pattern finds; blanks are those of before."""
     texts = ["Consta  do termo\nnúmero 12\xa0que o RÉU\x1c(sic) foi\tdito [x].*", "straße µ ÿ ß", "a  b a b", "", None, "  ", "Kelvin ſoft İi µμ", "acúcar e aço ﬁm", "a b  c", "x\\E$1 y", "ΑΣ ας"]
