@@ -35,6 +35,10 @@ SEGMENT = 1 << 23
 PAIRS = 500_000
 #: Intervals that are opened at once.
 AHEAD = 32
+#: Postings whose range maxima are made at once.
+STRETCH = 1 << 16
+#: Segments in a file of the index: whoever reads a file may hold all its rows at once.
+FILE_ROWS = 1
 #: One in so many segments is searched first.
 FIRST = 16
 #: Bytes outside terms: ASCII but for digits and letters.
@@ -175,15 +179,16 @@ class Postings:
         norm = 25 + (75 * lengths.astype(np.int64) * block.docs) // block.length
         tf = tfs[take].astype(np.int64)
         self.impacts = (1_000_000_000 * tf) // (1000 * tf + 8 * norm[self.docs])
-        level, levels = np.arange(len(take), dtype=np.int32), []
-        levels.append(level)
-        reach = 1
-        while reach * 2 <= size.max(initial=0):
-            left, right = level[:-reach], level[reach:]
-            level = np.append(np.where(self.impacts[right] > self.impacts[left], right, left), level[len(level) - reach :])
-            levels.append(level)
-            reach *= 2
-        self.table = np.stack(levels) if len(take) else np.zeros((1, 0), np.int32)
+        del take, tf, norm
+        longest = int(size.max(initial=0))
+        self.table = np.empty((max(1, longest.bit_length()), len(self.docs)), np.int32)
+        self.table[0] = np.arange(len(self.docs))
+        for k in range(1, longest.bit_length()):
+            reach, level, made = 1 << (k - 1), self.table[k - 1], self.table[k]
+            made[:] = level
+            for at in range(0, len(level) - reach, STRETCH):
+                left, right = level[at : min(at + STRETCH, len(level) - reach)], level[at + reach : at + reach + STRETCH]
+                made[at : at + len(left)] = np.where(self.impacts[right] > self.impacts[left], right, left)
 
     def maxima(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Place of the greatest impact from start to end, within one list; for empty ranges any place."""
@@ -244,6 +249,7 @@ def search(segments: DataFrame, block: Block, k: int, floors: np.ndarray) -> Dat
         for batch in batches:
             for r in range(batch.num_rows):
                 part = {name: batch.column(name)[r].values.to_numpy() for name in ("doc_ids", "lengths", "terms", "sizes", "docs", "tfs")}
+                postings = None  # the last segment's goes before the next one is made
                 postings = Postings(part["terms"], part["sizes"], part["docs"], part["tfs"], part["lengths"], block)
                 item, doc, score = [], [], []
                 for q, name in enumerate(block.items):
@@ -281,4 +287,4 @@ def search_index(segments: DataFrame, queries: DataFrame, k: int = 10) -> DataFr
 
 def search_all(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Index all documents in the shared folder, then search; other columns are not read."""
-    return search_index(written(index(docs), "segments"), queries, k)
+    return search_index(written(index(docs), "segments", FILE_ROWS), queries, k)
