@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselens.functions.aligned import composed
-from caselens.functions.matching import cut, match_spans, pinned
+from caselens.functions.matching import cut, match_spans, once, pinned
 from caselens.functions.numbering import number_rows
 from caselens.functions.scratch import written
 from caselens.functions.text import compact, flags, lines, present, squash, strip
@@ -29,12 +29,12 @@ OTHER_DOCUMENTS = ("certidao", "relatoriofinal", "laudopericial", "laudodeexame"
 INQUEST = ("inquerito", "delegacia", "policiacivil", "autodeprisaoemflagrante")
 COURT = ("audienciadeinstrucao", "emjuizo", "juizo")
 SPEECH_START = (
-    r"(?i)(?:\b(?:DISSE|DECLAROU|INFORMOU|RELATOU|ESCLARECEU|AFIRMOU|RESPONDEU)\s*[:,;]?\s+QUE\b"
-    r"|\b(?:PASSOU|PASSA)\s+A\s+(?:DECLARAR|RELATAR|INFORMAR)\s*[:,;]?\s+QUE\b"
+    r"(?i)(?:(?=[DIREA])\b(?:DISSE|DECLAROU|INFORMOU|RELATOU|ESCLARECEU|AFIRMOU|RESPONDEU)\s*[:,;]?\s+QUE\b"
+    r"|(?=P)\b(?:PASSOU|PASSA)\s+A\s+(?:DECLARAR|RELATAR|INFORMAR)\s*[:,;]?\s+QUE\b"
     r"|(?:^|\n)\s*QUE\b(?!\s+(?:PRESTA|COMPARECE|FOI\s+QUALIFICAD[OA])))"
 )
 SPEECH_END = (
-    r"(?i)(?:\bNADA\s+MAIS\s+(?:DISSE|DECLAROU|RESPONDEU)\b|\bNADA\s+(?:MAIS\s+)?LHE\s+FOI\s+PERGUNTADO\b"
+    r"(?i)(?=[NE])(?:\bNADA\s+MAIS\s+(?:DISSE|DECLAROU|RESPONDEU)\b|\bNADA\s+(?:MAIS\s+)?LHE\s+FOI\s+PERGUNTADO\b"
     r"|\bE\s+COMO\s+NADA\s+MAIS\b|\bENCERROU-SE\s+O\s+PRESENTE\b)"
 )
 NAME = r"([A-ZÀ-ÖØ-Ý][A-ZÀ-ÖØ-Ýa-zà-öø-ÿ .\r\n'-]{3,160}?)"
@@ -109,20 +109,23 @@ def _first_at(text: Column, markers: tuple[str, ...]) -> Column:
 def _heading(line_list: Column, markers: tuple[str, ...]) -> Column:
     """A line, or two neighbours, that shows a marker in capitals or at its start."""
     def good(line: Column) -> Column:
-        flat = compact(line)
         letters, capitals = F.regexp_count(line, F.lit(r"\p{L}")), F.regexp_count(line, F.lit(r"\p{Lu}"))
-        starts = F.lit(False)
-        for m in markers:
-            starts = starts | F.startswith(flat, F.lit(m))
-        return _any(flat, markers) & ((F.coalesce(F.try_divide(capitals, letters), F.lit(0.0)) >= 0.65) | (starts & (F.length(line) <= 220)))
+
+        def shown(flat: Column) -> Column:
+            starts = F.lit(False)
+            for m in markers:
+                starts = starts | F.startswith(flat, F.lit(m))
+            return _any(flat, markers) & ((F.coalesce(F.try_divide(capitals, letters), F.lit(0.0)) >= 0.65) | (starts & (F.length(line) <= 220)))
+
+        return once(compact(line), shown)
 
     pairs = F.zip_with(line_list, F.slice(line_list, 2, 1_000_000), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
     return F.exists(line_list, good) | F.exists(F.filter(pairs, lambda p: p.isNotNull()), good)
 
 
-def _within(position: Column, chars: int | None) -> Column:
-    """Whether a marker was found; with ``chars`` only in the first ones."""
-    return position.isNotNull() if chars is None else position <= chars
+def _within(text: Column, markers: tuple[str, ...], chars: int | None) -> Column:
+    """Whether a marker is there; with ``chars`` only in the first ones."""
+    return _any(text, markers) if chars is None else _first_at(text, markers) <= chars
 
 
 def testimony_starts(pages: DataFrame, limit: int | None = None, chars: int | None = None) -> DataFrame:
@@ -135,7 +138,7 @@ def testimony_starts(pages: DataFrame, limit: int | None = None, chars: int | No
     flat = F.col("_flat")
 
     def opens(markers: tuple[str, ...]) -> Column:
-        return _within(_first_at(flat, markers), chars) & _heading(F.col("_lines"), markers)
+        return _within(flat, markers, chars) & _heading(F.col("_lines"), markers)
 
     def context(markers: tuple[str, ...]) -> Column:
         return F.substring(flat, _first_at(flat, markers) + 1, F.lit(CONTEXT_CHARS))
@@ -151,7 +154,9 @@ def testimony_starts(pages: DataFrame, limit: int | None = None, chars: int | No
     role = (F.when(F.col("document_type") == "interrogatorio_reu", "reu").when(F.col("document_type").isin("declaracoes", "declaracao"), "declarante")
             .otherwise(F.element_at(F.split("document_type", "_"), -1)))
     found = pinned(read, "document_type", kind).where(F.col("document_type").isNotNull()).withColumn("role", role)
-    named = number_rows(found.select("case_id", "page_number", "document_type", "role"), ["case_id"], "page_number", "testimony_no")
+    # Written once, as numbering reads it twice.
+    forms = written(found.select("case_id", "page_number", "document_type", "role"), "forms")
+    named = number_rows(forms, ["case_id"], "page_number", "testimony_no")
     return named if limit is None else named.where(F.col("testimony_no") <= limit)
 
 
@@ -166,13 +171,14 @@ def testimony_pages(pages: DataFrame, starts: DataFrame, limit: int | None = Non
     With ``limit`` a form without a page total has so many pages at most, with ``chars`` other documents are told by the first characters of a page.
     """
     flat = F.col("_flat")
-    other = _within(_first_at(flat, OTHER_DOCUMENTS), chars)
+    other = _within(flat, OTHER_DOCUMENTS, chars)
     marked = pinned(pages.select("case_id", "page_number", "text"), "_flat", compact("text")).select(
         "case_id", "page_number", page_total_hint(flat).alias("hint"), F.coalesce(other, F.lit(False)).alias("stop_before"),
         _any(flat, CLOSING).alias("stop_after"))
     marked = marked.join(starts.select("case_id", "page_number", F.lit(True).alias("is_start")), ["case_id", "page_number"], "left").withColumn(
         "is_start", F.coalesce("is_start", F.lit(False)))
-    members = assemble_documents(marked, limit, "hint")
+    # Written once: texts are read for their marks a single time, then only marks are assembled.
+    members = written(assemble_documents(written(marked, "marks"), limit, "hint"), "members")
     per = members.groupBy(*DOC).agg(
         F.count(F.lit(1)).alias("_n"), F.max(F.when(F.col("page_number") == F.col("start_page"), F.col("hint"))).alias("total_hint"),
         F.bool_or("stop_after").alias("closed"), F.max("stop_reason").alias("stop_reason"))
@@ -184,26 +190,26 @@ def testimony_pages(pages: DataFrame, starts: DataFrame, limit: int | None = Non
 
 
 def _clean_name(raw: Column) -> Column:
-    name = F.trim(F.regexp_replace(raw, r"\s+", " "), F.lit(" .,:;-()"))
-    parts = F.split(name, " ")
-    flat = compact(name)
-    good = (
-        F.size(parts).between(2, 12) & F.forall(parts, lambda w: w.rlike(r"\p{L}")) & ~flat.isin(*REJECTED_NAMES)
-        & ~compact(F.element_at(parts, 1)).isin(*REJECTED_NAMES) & ~_any(flat, REJECTED_PARTS)
-    )
-    return F.when(good, name)
+    def good(parts: Column, flat: Column) -> Column:
+        return (F.size(parts).between(2, 12) & F.forall(parts, lambda w: w.rlike(r"\p{L}")) & ~flat.isin(*REJECTED_NAMES)
+                & ~compact(F.element_at(parts, 1)).isin(*REJECTED_NAMES) & ~_any(flat, REJECTED_PARTS))
+
+    trimmed = F.trim(F.regexp_replace(raw, r"\s+", " "), F.lit(" .,:;-()"))
+    return once(trimmed, lambda name: once(F.split(name, " "), lambda parts: once(compact(name), lambda flat: F.when(good(parts, flat), name))))
 
 
 def _found_name(pattern: str, method: str, confidence: str, chars: int | None) -> Column:
     """First acceptable name in page order; with ``chars`` in the first characters of a page."""
     def on_page(p: Column) -> Column:
         head = p["text"] if chars is None else F.substring(p["text"], 1, chars)
-        whole, names = F.regexp_extract_all(head, F.lit(pattern), F.lit(0)), F.regexp_extract_all(head, F.lit(pattern), F.lit(1))
-        return F.zip_with(whole, names, lambda w, n: F.struct(
-            _clean_name(n).alias("name"), F.lit(method).alias("method"), F.lit(confidence).alias("confidence"),
-            F.substring(squash(w), 1, 240).alias("evidence"), p["page_number"].cast("bigint").alias("page_number")))
+        named = lambda w, n: F.struct(
+            n.alias("name"), F.lit(method).alias("method"), F.lit(confidence).alias("confidence"),
+            F.substring(squash(w), 1, 240).alias("evidence"), p["page_number"].cast("bigint").alias("page_number"))
+        made = lambda whole: F.zip_with(whole, F.regexp_extract_all(head, F.lit(pattern), F.lit(1)), lambda w, n: once(_clean_name(n), lambda c: F.when(c.isNotNull(), named(w, c))))
+        # Most pages name nobody, which one search tells.
+        return once(F.regexp_extract_all(head, F.lit(pattern), F.lit(0)), lambda whole: F.when(F.size(whole) > 0, made(whole)))
 
-    return F.get(F.filter(F.flatten(F.transform("pages", on_page)), lambda f: f["name"].isNotNull()), F.lit(0))
+    return F.get(F.flatten(F.transform("pages", lambda p: F.filter(F.coalesce(on_page(p), F.array()), lambda f: f.isNotNull()))), F.lit(0))
 
 
 def identify_person(docs: DataFrame, chars: int | None = None) -> DataFrame:
@@ -248,8 +254,7 @@ def speech_body(docs: DataFrame) -> DataFrame:
 
 
 def phase_of(text: Column) -> Column:
-    flat = compact(text)
-    return F.when(_any(flat, INQUEST), "inquerito").when(_any(flat, COURT), "juizo").otherwise("outro")
+    return once(compact(text), lambda flat: F.when(_any(flat, INQUEST), "inquerito").when(_any(flat, COURT), "juizo").otherwise("outro"))
 
 
 def testimonies(pages: DataFrame) -> DataFrame:
